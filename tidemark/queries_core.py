@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.heavy_keys import heavy_keys, keyed_totals
 from tidemark.operators.regular_grid import regular_grid
 from tidemark.operators.rolling import day_text, rolling_totals
+from tidemark.operators.spikes import faulty_readings
 from tidemark.sources.remote_write import exploded_readings
 
 
@@ -15,6 +16,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# --- faulty readings
+
+
+def p1_faults(spark: SparkSession, folder: str) -> DataFrame:
+    return faulty_readings(table(spark, folder, "samples"), table(spark, folder, "metric_meta"), "series_id", "metric", "ts_ms", "value", "seq")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_faults(spark, folder).select("seq")
+
+
+def p1_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_faults(spark, folder).where("fault = 'bounds'").select("seq")
+
+
+P1_BOUNDS_SQL = """
+select seq from samples join metric_meta using (metric)
+where value is not null and (not isfinite(value) or value < lo or (value > hi and not isnan(hi)))
+"""
+
+
 # --- heavy keys
 
 
@@ -145,6 +167,9 @@ from roll"""
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_faults": p1_faults,
+    "p1_bounds": p1_bounds,
     "p3_found": p3_found,
     "p3_totals": p3_totals,
     "p4_found": p4_found,
@@ -154,6 +179,7 @@ QUERIES = {
     "p6_totals": p6_totals,
 }
 SQL = {
+    "p1_bounds": P1_BOUNDS_SQL,
     "p3_found": P3_FOUND_SQL,
     "p3_totals": P3_TOTALS_SQL,
     "p4_found": P4_FOUND_SQL,
