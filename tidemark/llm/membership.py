@@ -4,10 +4,10 @@ Each identifier is reduced to the set of groups that hold it.  Identifiers with
 are the same pattern, and only how many there are is kept.  The identifiers of any union or
 intersection of groups are then those of the patterns that touch them: a sum of pattern totals.
 
-A pattern is named by its size and two XORs of 64-bit hashes of its groups, so no set is ever
-gathered in one place.  Two different sets share a name with a probability of 2**-128; apart
-from that the counts are exact: with m patterns the error is 0 with a probability of at least
-1 - m**2 / 2**129.
+Identifiers are carried as 128 bits of hash, and a pattern is named by two XORs of 64-bit hashes
+of its groups, so no set is ever gathered in one place.  Two identifiers or two patterns share a
+name with a probability of 2**-128; apart from that the counts are exact: among m of them the
+error is 0 with a probability of at least 1 - m**2 / 2**129.
 """
 
 from __future__ import annotations
@@ -15,20 +15,30 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PATTERN = ["kind", "size", "name1", "name2"]
+IDENTIFIER = ["kind", "id1", "id2"]
+PATTERN = ["kind", "name1", "name2"]
 
 
 def memberships(df: DataFrame, kind: str, identifier: str, groups: Sequence[str]) -> DataFrame:
     """Distinct (kind, identifier, groups): the partial result of a day, a shard or any other part.
 
     Map-side aggregation removes repetitions before the shuffle, which is keyed by all columns,
-    so a hot identifier is spread by its groups.  Rows with a NULL identifier are left out.  NULL
-    group values are values of their own and differ from ``""``.
+    so a hot identifier is spread by its groups.  Rows with a NULL identifier are left out, ``""``
+    is an identifier.  NULL group values are values of their own and differ from ``""``.
     """
-    return df.where(df[identifier].isNotNull()).select(df[kind].alias("kind"), df[identifier].alias("id"), *[df[g].alias(g) for g in groups]).distinct()
+    return (
+        df.where(df[identifier].isNotNull())
+        .select(
+            df[kind].alias("kind"),
+            F.xxhash64(F.lit(3), df[identifier]).alias("id1"),
+            F.xxhash64(df[identifier], F.lit(5)).alias("id2"),
+            *[df[g].alias(g) for g in groups],
+        )
+        .distinct()
+    )
 
 
 def merge(parts: Sequence[DataFrame]) -> DataFrame:
@@ -50,13 +60,17 @@ def _group_hash(groups: Sequence[str], seed: int) -> Column:
 def pattern_totals(members: DataFrame, groups: Sequence[str]) -> DataFrame:
     """One row per pattern and group of the pattern, with ``n``, the identifiers of the pattern.
 
-    The groups of a pattern are those of one of its identifiers, the smallest.
+    Totals of parts that share no identifier are merged by adding ``n``.
     """
-    named = members.groupBy("kind", "id").agg(
-        F.count("*").alias("size"), F.bit_xor(_group_hash(groups, 1)).alias("name1"), F.bit_xor(_group_hash(groups, 2)).alias("name2")
+    whole = Window.partitionBy(*IDENTIFIER)
+    named = members.select(
+        "kind",
+        *groups,
+        F.bit_xor(_group_hash(groups, 1)).over(whole).alias("name1"),
+        F.bit_xor(_group_hash(groups, 2)).over(whole).alias("name2"),
     )
-    totals = named.groupBy(*PATTERN).agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    return members.join(totals, ["kind", "id"]).drop("id")
+    # Each identifier has one row per group of its pattern, so rows of a pattern and group count its identifiers.
+    return named.repartition(*PATTERN).groupBy(*PATTERN, *groups).agg(F.count("*").alias("n"))
 
 
 def count_any(totals: DataFrame, condition: Column) -> DataFrame:
@@ -78,17 +92,22 @@ def counts_of_combinations(totals: DataFrame, groups: Sequence[str]) -> DataFram
     ``by`` names the groups of a combination, joined with ``+`` (``""`` is the whole); the columns
     of the others are NULL.  ``max_error`` is the error bound of the count, 0.
 
-    Rows are placed by pattern once, before they are multiplied by the combinations: what follows
-    needs no further shuffle but that of the sums.
+    The totals are placed by pattern, so that making each pattern count once for each value
+    needs no shuffle; only the sums are shuffled.
     """
     sets = [list(c) for r in range(len(groups) + 1) for c in combinations(groups, r)]
     types = {g: totals.schema[g].dataType for g in groups}
     choice = F.array(
-        *[F.struct(F.lit("+".join(c)).alias("by"), *[(F.col(g) if g in c else F.lit(None).cast(types[g])).alias(g) for g in groups]) for c in sets]
+        *[F.struct(F.lit(i).cast("tinyint").alias("_set"), *[(F.col(g) if g in c else F.lit(None).cast(types[g])).alias(g) for g in groups]) for i, c in enumerate(sets)]
+    )
+    spread = totals.select(*PATTERN, "n", F.inline(choice))
+    once = spread.groupBy(*PATTERN, "n", "_set", *groups).agg(F.lit(1).alias("_"))
+    names = F.array(*[F.lit("+".join(c)) for c in sets])
+    return (
+        once.groupBy("kind", "_set", *groups)
+        .agg(F.sum("n").alias("n_ids"))
+        .select("kind", F.get(names, F.col("_set").cast("int")).alias("by"), *groups, "n_ids", F.lit(0).cast("bigint").alias("max_error"))
     )
-    spread = totals.repartition(*PATTERN).select(*PATTERN, "n", F.inline(choice))
-    once = spread.groupBy(*PATTERN, "n", "by", *groups).agg(F.lit(1).alias("_"))
-    return once.groupBy("kind", "by", *groups).agg(F.sum("n").alias("n_ids")).withColumn("max_error", F.lit(0).cast("bigint"))
 
 
 def distinct_counts(df: DataFrame, kind: str, identifier: str, groups: Sequence[str]) -> DataFrame:
