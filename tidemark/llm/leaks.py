@@ -149,17 +149,18 @@ class Rules:
     clear: int = 16  #: letters in a row that are undamaged somewhere in a leak
     windows: int = 3  #: template windows of an item that make a candidate
     apart: int = 60  #: words of the item that hold them
-    drift: int = 24  #: words by which their places in item and document may shift
+    drift: int = 36  #: words by which their places in item and document may shift
     joined: int = 24  #: letters that damage may take within a stretch
     damage: float = 0.4  #: share of the letters of such a gap, one more allowed, that may differ
-    slack: int = 3  #: letters lost or doubled where a passage breaks off and goes on
+    lost: int = 1  #: letters lost where a passage breaks off and goes on,
+    twice: int = 4  #: or by chance equal to what stands in between
     beside: int = 30  #: letters of foreign text that a stretch may skip,
     least: int = 7  #: if it has so many letters;
     reach: int = 250  #: a break this wide
     near: int = 14  #: takes so many,
     alone: int = 28  #: and a wider one, or another order, takes so many
     max_letters: int = 20_000_000  #: letters of items worked on at a time
-    common: float = 0.25  #: share of the items of a language from which on a word is no template word
+    common: float = 0.33  #: share of the items of a language from which on a word is no template word
 
 
 @dataclass
@@ -313,7 +314,7 @@ class Items:
         begin = [c[0] for c in parts]
         ends: dict[int, list[int]] = {}
         for b, c in enumerate(parts):
-            for a in (a for e in range(c[0] - r.slack, c[0] + r.slack + 1) for a in ends.get(e, ())):
+            for a in (a for e in range(c[0] - r.lost, c[0] + r.twice + 1) for a in ends.get(e, ())):
                 p = parts[a]
                 if begin[a] >= begin[b]:
                     continue

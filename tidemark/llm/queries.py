@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import floor_day
-from tidemark.llm import membership, packing, percentiles, splitting
+from tidemark.llm import leaks, membership, packing, percentiles, splitting
 from tidemark.sources.remote_write import exploded_readings, exploded_series
 
 
@@ -125,6 +125,19 @@ select doc_id, cast(strlen(text) as bigint) n_tokens, cast((strlen(text) + 5999)
 """
 
 
+# --- leaks
+
+
+def p8_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the items whose template they share, with the most consecutive words printed."""
+    found = leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), item_lang="lang")
+    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_matches(spark, folder).where("leaked").select("doc_id", "item_id")
+
+
 # --- splitting
 
 
@@ -145,6 +158,8 @@ QUERIES = {
     "p5_within_bound": p5_within_bound,
     "p7_containers": p7_containers,
     "p7_tokens": p7_tokens,
+    "p8_found": p8_found,
+    "p8_matches": p8_matches,
     "p9_found": p9_found,
     "p9_pieces": p9_pieces,
 }
