@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,12 @@ from tidemark.plans.promql import parse
 from tidemark.sources.remote_write import checked_series, first_labels
 
 
+def arrival(request: Column, series: Column, sample: Column) -> Column:
+    """Order of arrival as one number, of the request, the series in it and the sample in that."""
+    wide = lambda c: c.cast("decimal(19,0)")
+    return (wide(request) * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,0)") + wide(series) * F.lit(10**9).cast("decimal(19,0)") + wide(sample)
+
+
 class Engine:
     """A catalog of tables, one per metric.
 
@@ -55,8 +61,13 @@ class Engine:
         meta: TableMeta | None = None,
         retention: bool = False,
         deduplicated: bool | None = None,
+        unique: bool = True,
     ) -> Table:
-        """A DataFrame as a table.  Without ``seq``, a column of arrival order, its rows count as deduplicated."""
+        """A DataFrame as a table.
+
+        Without ``seq``, a column of arrival order, its rows count as deduplicated.  ``unique`` False is for
+        an order with ties, which then go to the larger value.
+        """
         kinds = dict(scalars) if isinstance(scalars, Mapping) else {s: "float" for s in scalars}
         schema = TableSchema(name, tuple(labels), tuple(kinds.items()), meta or self.meta)
         for c in [*labels, *kinds, ts, *([seq] if seq else [])]:
@@ -64,7 +75,7 @@ class Engine:
                 raise SchemaMismatch(f"{name}: the rows have no column {c}")
         if retention and not seq:
             raise WriteError("retention needs an arrival order")
-        self.tables[name] = Table(schema, df, ts, seq, retention, seq is None if deduplicated is None else deduplicated)
+        self.tables[name] = Table(schema, df, ts, seq, retention, seq is None if deduplicated is None else deduplicated, unique)
         return self.tables[name]
 
     def table(self, name: str) -> Table:
@@ -141,8 +152,8 @@ class Engine:
             names += extra
             mine = good.where(F.col("metric") == name)
             df = mine.select(
-                *[F.col("labels")[x].alias(x) for x in names], F.struct("seq", "place").alias("_series"), F.posexplode("samples").alias("_i", "_s")
-            ).select(*names, F.struct("_series.seq", "_series.place", F.col("_i")).alias("_seq"), F.col("_s.timestamp").alias("_ts"), F.col("_s.value").alias("value"))
+                *[F.col("labels")[x].alias(x) for x in names], "seq", "place", F.posexplode("samples").alias("_i", "_s")
+            ).select(*names, arrival(F.col("seq"), F.col("place"), F.col("_i")).alias("_seq"), F.col("_s.timestamp").alias("_ts"), F.col("_s.value").alias("value"))
             if old:
                 if old.rows.schema["_seq"].dataType != df.schema["_seq"].dataType:
                     raise WriteError(f"{name} is written in another way")

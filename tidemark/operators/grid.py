@@ -67,15 +67,23 @@ def placed(df: DataFrame, ms: Column, meta: TableMeta) -> DataFrame:
     )
 
 
-def last_write(df: DataFrame, labels: Sequence[str], scalars: Sequence[str], seq: str) -> DataFrame:
-    """One row per series and slot, the last by ``seq``; equal ``seq`` goes to the larger scalars.
+def last_write(df: DataFrame, labels: Sequence[str], scalars: Sequence[str], seq: str, meta: TableMeta, unique: bool = True) -> DataFrame:
+    """One row per series and slot, the last by ``seq``.
 
     Series are told apart by all labels, NULL being equal to NULL and different from ``""``.  The
-    last write holds even where its value is NULL.
+    last write holds even where its value is NULL.  Copies are brought together before the shuffle.
+    With ``unique`` no two rows of a slot share a ``seq``, and plain columns are compared, in hash
+    tables; without, whole rows are, and equal ``seq`` goes to the larger scalars.
     """
-    whole = F.struct(*[F.col(s) for s in scalars])
-    kept = df.groupBy(*labels, *GRID).agg(F.max_by(whole, F.struct(F.col(seq), whole)).alias("_last"))
-    return kept.select(*labels, *GRID, *[F.col("_last")[s].alias(s) for s in scalars])
+    keys = [*labels, "chunk_start", "slot"]
+    if unique:
+        kept = df.groupBy(*keys).agg(*[F.max_by(s, seq).alias(s) for s in scalars])
+    else:
+        whole = F.struct(*[F.col(s) for s in scalars])
+        last = df.groupBy(*keys).agg(F.max_by(whole, F.struct(F.col(seq), whole)).alias("_last"))
+        kept = last.select(*keys, *[F.col("_last")[s].alias(s) for s in scalars])
+    ts = (F.col("chunk_start") + F.col("slot").cast("bigint") * meta.interval_ms).alias("ts_ms")
+    return kept.select(*keys, ts, *scalars)
 
 
 def live_from(df: DataFrame, seq: str, meta: TableMeta) -> DataFrame:

@@ -39,7 +39,7 @@ class Table:
     """A table over a DataFrame: which columns are its time, arrival order, labels and scalars.
 
     ``deduplicated`` tells that the rows have one sample per series and slot already;
-    ``retention`` applies the limit of live chunks.
+    ``retention`` applies the limit of live chunks; ``unique`` tells that no two rows share a ``seq``.
     """
 
     schema: TableSchema
@@ -48,6 +48,7 @@ class Table:
     seq: str | None
     retention: bool = False
     deduplicated: bool = False
+    unique: bool = True
 
     def typed(self, scalars: Sequence[str]) -> list[Column]:
         kinds = dict(self.schema.scalars)
@@ -94,7 +95,7 @@ def scan(
     if table.retention:
         out = out.where(F.col("chunk_start") >= grid.live_from(long(rows, []), "_seq", meta).scalar())
     if not table.deduplicated:
-        return grid.last_write(out, s.labels, scalars, "_seq")
+        return grid.last_write(out, s.labels, scalars, "_seq", meta, table.unique)
     return out.select(*s.labels, *grid.GRID, *scalars)
 
 

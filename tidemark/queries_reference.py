@@ -27,15 +27,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def engine(spark: SparkSession, folder: str, retention: bool = False) -> Engine:
+def engine(spark: SparkSession, folder: str, *names: str, retention: bool = False) -> Engine:
+    """An engine with the named tables."""
     e = Engine(spark)
-    events = table(spark, folder, "events").withColumn("user_id", F.col("user_id").cast("string"))
-    events = events.withColumn("error_code", F.when(F.col("event_type") == "error", F.col("user_id")))
-    e.register("events", events, ["event_type", "user_id"], ["value"], "ts", "event_id", QUARTER, retention)
-    e.register("coded", events, ["event_type", "error_code"], ["value"], "ts", "event_id", QUARTER, retention)
-    e.register("orders", table(spark, folder, "orders"), ["o_orderstatus", "o_orderpriority"], ["o_totalprice"], "o_orderdate", "o_orderkey", DAY, retention)
-    e.register("lineitem", table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_shipdate", None, DAY)
-    e.register("samples", table(spark, folder, "samples"), ["metric", "job", "instance", "zone", "sensor"], ["value"], "ts_ms", "seq", TableMeta(120, 60_000))
+    for name in names:
+        if name in ("events", "coded"):
+            events = table(spark, folder, "events").withColumn("user_id", F.col("user_id").cast("string"))
+            events = events.withColumn("error_code", F.when(F.col("event_type") == "error", F.col("user_id")))
+            e.register(name, events, ["event_type", "user_id" if name == "events" else "error_code"], ["value"], "ts", "event_id", QUARTER, retention)
+        elif name == "orders":
+            e.register(name, table(spark, folder, name), ["o_orderstatus", "o_orderpriority"], ["o_totalprice"], "o_orderdate", "o_orderkey", DAY, retention)
+        elif name == "lineitem":
+            e.register(name, table(spark, folder, name), ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_shipdate", None, DAY)
+        else:
+            e.register(name, table(spark, folder, name), ["metric", "job", "instance", "zone", "sensor"], ["value"], "ts_ms", "seq", TableMeta(120, 60_000))
     return e
 
 
@@ -65,7 +70,7 @@ select {_SAMPLE_LABELS}, count(*) n, sum(case when isfinite(value) and abs(value
 
 def _sample_series(*matchers: Matcher) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        rows = engine(spark, folder).scan("samples", None, matchers)
+        rows = engine(spark, folder, "samples").scan("samples", None, matchers)
         finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < 1e15)
         return rows.groupBy(*_SAMPLE_LABELS.split(", ")).agg(
             F.count("*").alias("n"), F.sum(F.when(finite, F.col("value").cast("decimal(26,6)"))).cast("decimal(38,6)").alias("total")
@@ -75,12 +80,12 @@ def _sample_series(*matchers: Matcher) -> Callable[[SparkSession, str], DataFram
 
 
 def _scan(name: str, *matchers: Matcher, **options) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: engine(spark, folder).scan(name, None, matchers, **options)
+    return lambda spark, folder: engine(spark, folder, name).scan(name, None, matchers, **options)
 
 
 def _promql(text: str, places: int | None = 6, **fixed) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        out = engine(spark, folder).query(text, now_ms=NOW)
+        out = engine(spark, folder, "events").query(text, now_ms=NOW)
         return out if places is None else out.withColumn("value", F.round(F.col("value").cast("double"), places))
 
     return run
@@ -92,12 +97,12 @@ def _aggregated(function: str, by: str, where: str = "true", group: str = "ts_ms
 
 
 def chunk_assign(spark: SparkSession, folder: str) -> DataFrame:
-    return engine(spark, folder).scan("events").groupBy("chunk_start").agg(F.count("*").alias("n"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+    return engine(spark, folder, "events").scan("events").groupBy("chunk_start").agg(F.count("*").alias("n"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
 
 
 def _wide_stats(name: str, scalar: str, **options) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        e = engine(spark, folder)
+        e = engine(spark, folder, name)
         w = e.scan(name, wide=True, **options)
         labels = list(e.table(name).schema.labels)
         filled = F.filter(F.transform(scalar, lambda v, i: F.when(v.isNotNull(), i)), lambda i: i.isNotNull())
@@ -121,29 +126,29 @@ select * from stats {"" if keep_empty else "where n_values > 0"}"""
 
 
 def wide_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    e = engine(spark, folder)
+    e = engine(spark, folder, "events")
     return grid.from_wide(e.scan("events", wide=True), ["event_type", "user_id"], ["value"], QUARTER)
 
 
 def projection_multi(spark: SparkSession, folder: str) -> DataFrame:
-    rows = engine(spark, folder).scan("lineitem", ["l_quantity", "l_tax"])
+    rows = engine(spark, folder, "lineitem").scan("lineitem", ["l_quantity", "l_tax"])
     return rows.groupBy("l_returnflag", "l_linestatus", "ts_ms").agg(
         F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("decimal(38,2)").alias("quantity"), F.sum(F.col("l_tax").cast("decimal(18,2)")).cast("decimal(38,2)").alias("tax")
     )
 
 
 def int_coercion(spark: SparkSession, folder: str) -> DataFrame:
-    e = engine(spark, folder)
+    e = Engine(spark)
     e.register("whole", table(spark, folder, "samples"), ["metric"], {"value": "int"}, "ts_ms", None, TableMeta(120, 60_000))
     return e.scan("whole").groupBy("metric").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(38,0)")).cast("decimal(38,0)").alias("total"))
 
 
 def limit_sorted(spark: SparkSession, folder: str) -> DataFrame:
-    return engine(spark, folder).scan("events", limit=25, wide=True).select("start_at", "event_type", "user_id")
+    return engine(spark, folder, "events").scan("events", limit=25, wide=True).select("start_at", "event_type", "user_id")
 
 
 def limit_long(spark: SparkSession, folder: str) -> DataFrame:
-    return engine(spark, folder).scan("coded", limit=25)
+    return engine(spark, folder, "coded").scan("coded", limit=25)
 
 
 def remote_write_nested(spark: SparkSession, folder: str) -> DataFrame:
@@ -173,7 +178,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def archive_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    e, path = engine(spark, folder), shared_folder(spark)
+    e, path = engine(spark, folder, "events"), shared_folder(spark)
     e.archive("events", path)
     e.open_archive("old", path, ["event_type", "user_id"], {"value": "float"}, QUARTER)
     return e.scan("old", None, [Matcher("event_type", "=", "click")])
@@ -183,7 +188,7 @@ def arrow_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """A result written as an Arrow file and read back."""
     import tempfile
 
-    e = engine(spark, folder)
+    e = engine(spark, folder, "events")
     with tempfile.NamedTemporaryFile(suffix=".arrow") as f:
         e.write_ipc(e.query("sum by (event_type) (events)", now_ms=NOW), f.name)
         t = pa.ipc.open_file(f.name).read_all()
@@ -226,11 +231,11 @@ select event_type, user_id, chunk_start, slot, ts_ms, value from kept, bound whe
 
 
 def retention(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: engine(spark, folder, retention=True).scan(name)
+    return lambda spark, folder: engine(spark, folder, name, retention=True).scan(name)
 
 
 def moving_average(spark: SparkSession, folder: str) -> DataFrame:
-    rows = engine(spark, folder).scan("events")
+    rows = engine(spark, folder, "events").scan("events")
     return agg.over_time_grid(rows, "avg_over_time", ["event_type", "user_id"], 86_400_000).withColumn("value", F.round("value", 6))
 
 
