@@ -98,8 +98,8 @@ def regular_grid(
     period starts at ``ts div interval_ms * interval_ms``.
 
     Columns: ``key``, ``slot_ms``, ``value``, ``n_readings`` and ``filled``.  An observed period
-    has its last reading by ``seq`` (of equal ``seq`` the largest value) and the number of its
-    rows; a missing one has ``filled``, the predicted value and no readings.  Values outside
+    has its last reading by ``seq``, which no two usable rows of a key and period share, and the
+    number of its rows; a missing one has ``filled``, the predicted value and no readings.  Values outside
     ``lo`` .. ``hi`` are kept where observed but have no part in the fit, nor do they anchor it.
 
     NULL is a key of its own.  NULL and non-finite values, rows without a time and rows of a
@@ -116,19 +116,17 @@ def regular_grid(
         "key",
         "_step",
         (tdiv(F.col("_ts"), F.col("_step")) * F.col("_step")).alias("slot_ms"),
-        tdiv(tdiv(F.col("_ts"), F.col("_step")), BLOCK).alias("_block"),
         "_value",
         "_seq",
         sound.alias("_sound"),
     )
+    # Copies and the readings of a slot come together before they are spread by key and slot; what
+    # is then spread by key and block has at most one row per slot.
     slots = (
-        placed.repartition("key", "_block")
-        .groupBy("key", "_step", "_block", "slot_ms")
-        .agg(
-            F.max_by(F.struct("_value", "_sound"), F.struct("_seq", "_value")).alias("_last"),
-            F.count("*").alias("n_readings"),
-        )
-        .select("key", "_step", "_block", "slot_ms", "n_readings", F.col("_last._value").alias("value"), F.when(F.col("_last._sound"), F.col("_last._value")).alias("fit_value"))
+        placed.groupBy("key", "_step", "slot_ms")
+        .agg(F.max_by("_value", "_seq").alias("value"), F.max_by("_sound", "_seq").alias("_sound"), F.count("*").alias("n_readings"))
+        .select("key", "_step", tdiv(tdiv(F.col("slot_ms"), F.col("_step")), BLOCK).alias("_block"), "slot_ms", "n_readings", "value", F.when(F.col("_sound"), F.col("value")).alias("fit_value"))
+        .repartition("key", "_block")
     )
     fit = seasonal_fit(slots.select("key", "slot_ms", "fit_value"), harmonics)
 

@@ -19,18 +19,14 @@ from tidemark.functions.numeric import exact_part, floor_day, huge_part, usable
 def daily_amounts(df: DataFrame, key: str, ts: str, value: str, seq: str) -> DataFrame:
     """Exact sum and count of the usable readings of each key and day.
 
-    Of rows with the same key and time only the last by ``seq`` counts.  Rows are spread by
-    key and day, so a heavy key is worked on by as many tasks as it has days.
+    Of rows with the same key and time only the last by ``seq`` counts.  Copies are brought together
+    before rows are spread by key and time, and a day's amounts before they are spread by key and
+    day, so neither a heavy key nor a heavily copied reading burdens one task.
     """
     rows = df.select(
         df[key].alias("key"), df[ts].cast("bigint").alias("_ts"), df[value].cast("double").alias("_value"), df[seq].alias("_seq")
     ).where(usable(F.col("_value")) & F.col("_ts").isNotNull())
-    kept = (
-        rows.withColumn("day", floor_day(F.col("_ts")))
-        .repartition("key", "day")
-        .groupBy("key", "day", "_ts")
-        .agg(F.max_by("_value", F.struct("_seq", "_value")).alias("_value"))
-    )
+    kept = rows.groupBy("key", "_ts").agg(F.max_by("_value", "_seq").alias("_value")).withColumn("day", floor_day(F.col("_ts")))
     return kept.groupBy("key", "day").agg(
         F.coalesce(F.sum(exact_part(F.col("_value"))), F.lit(0)).cast("decimal(36,6)").alias("amount"),
         F.coalesce(F.sum(huge_part(F.col("_value"))), F.lit(0.0)).alias("huge"),
@@ -51,8 +47,8 @@ def rolling_totals(
 
     Days without readings have rows too.  NULL is a key of its own.  NULL and non-finite
     values and rows without a time are left out; a key that has nothing else gives no row.
-    Re-delivered rows count once; of corrections the one with the highest ``seq`` counts, and
-    of equal ``seq`` the largest value.  An empty table gives no rows.
+    Re-delivered rows count once; of corrections the one with the highest ``seq`` counts, which
+    no two usable rows of a key and time share.  An empty table gives no rows.
     """
     daily = daily_amounts(df, key, ts, value, seq)
     fields = ["amount", "huge", "n_huge", "n"]
