@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import tdiv, usable
+from tidemark.functions.shared import BROADCAST_BYTES, combined_in_task, written
 
 #: Readings of a spike at most, and readings of a stuck run at least.
 MAX_LENGTH, MIN_RUN = 5, 10
@@ -260,7 +261,10 @@ def faulty_readings(
     Rows with a NULL value are never faulty.  A row without a time or of an unknown metric is
     only held against the bounds.  NULL is a key of its own.  Repeated rows are each reported.  A
     series of fewer than six readings is only held against the bounds.  An empty table gives
-    no rows.  Other columns are not read.  Keys are told apart by a 64-bit hash.
+    no rows.  Other columns are not read.  Keys are told apart by a 64-bit hash.  ``seq`` tells rows apart.
+
+    The readings found are written to the shared folder when this is called.  Copies of a reading are
+    combined before the shuffle, so a heavily copied one burdens no task.
     """
     limits = limits or Limits()
     known = meta.select(
@@ -288,13 +292,13 @@ def faulty_readings(
     placed = joined.where(~bad & F.col("_ts").isNotNull() & (F.col("_step") > 0)).select(
         "seq", "_key", "_ts", "_value", "_step", F.explode(F.array_compact(F.array(own, near))).alias("_block"), own.alias("_own")
     )
-    sent = (
-        placed.select(
-            "seq", F.xxhash64("_key", "_block").alias("_group"), "_ts", "_value", F.col("_step"), (F.col("_block") == F.col("_own")).alias("_mine")
-        )
-        .repartition("_group")
-        .sortWithinPartitions("_group", "_ts", "seq")
+    mine = ["_group", "_ts", "_value"]
+    sent = combined_in_task(
+        placed.select("seq", F.xxhash64("_key", "_block").alias("_group"), "_ts", "_value", "_step", (F.col("_block") == F.col("_own")).alias("_mine")),
+        [*mine, "_step", "_mine"],
+        "seq",
     )
+    sorted_ = sent.repartition("_group").sortWithinPartitions("_group", "_ts", "seq")
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -305,9 +309,10 @@ def faulty_readings(
             gid = np.cumsum(np.concatenate(([0], group[1:] != group[:-1]))).astype(np.int64)
             spike, stuck = judge(gid, ts_, v, step, limits)
             pick = np.flatnonzero((spike | stuck) & t.column("_mine").to_numpy())
-            return pa.RecordBatch.from_arrays(
-                [t.column("seq").combine_chunks().take(pa.array(pick)), pa.array(np.where(spike[pick], "spike", "stuck").tolist(), pa.string())], names=["seq", "fault"]
-            )
+            out = t.select([*mine, "seq", "n"]).take(pa.array(pick, pa.int64())).combine_chunks()
+            out = out.append_column("fault", pa.array(np.where(spike[pick], "spike", "stuck").tolist(), pa.string()))
+            batches = out.to_batches()
+            return batches[0] if batches else pa.RecordBatch.from_pylist([], out.schema)
 
         for b in batches:
             held.append(b)
@@ -325,4 +330,14 @@ def faulty_readings(
             yield done(pa.Table.from_batches(held))
 
     kind = rows.schema["seq"].dataType.simpleString()
-    return bounds.unionByName(sent.mapInArrow(detect, f"seq {kind}, fault string"))
+    found = written(sorted_.mapInArrow(detect, f"_group bigint, _ts bigint, _value double, seq {kind}, n bigint, fault string"))
+    # Of a reading that came once the row is known; of one that was copied, all rows are looked up.
+    several = found.groupBy(*mine, "fault").agg(F.sum("n").alias("n"), F.min("seq").alias("seq"))
+    single = several.where("n = 1").select("seq", "fault")
+    copied = several.where("n > 1").select(*[F.col(c).alias(f"_c{c}") for c in mine], F.col("fault").alias("_fault"))
+    if copied.count() * 64 <= BROADCAST_BYTES:
+        copied = F.broadcast(copied)
+    again = joined.where(~bad & F.col("_ts").isNotNull() & (F.col("_step") > 0)).select("seq", F.xxhash64("_key", own).alias("_group"), "_ts", "_value")
+    same = (again["_group"] == copied["_c_group"]) & (again["_ts"] == copied["_c_ts"]) & (again["_value"] == copied["_c_value"])
+    copies = again.join(copied, same).select("seq", F.col("_fault").alias("fault"))
+    return bounds.unionByName(single).unionByName(copies)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -11,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.engine import Engine
+from tidemark.functions.shared import shared_folder
 from tidemark.model import Matcher, TableMeta
 from tidemark.operators import aggregate as agg
 from tidemark.operators import grid
@@ -171,12 +170,6 @@ def remote_write_tables(spark: SparkSession, folder: str) -> DataFrame:
     return whole
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the shared place that the session names; a local one only where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/tidemark-{os.getuid()}"
-    return f"{base}/tidemark-{uuid.uuid4().hex}"
-
-
 def archive_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     e, path = engine(spark, folder, "events"), shared_folder(spark)
     e.archive("events", path)
