@@ -204,7 +204,7 @@ def corpus():
     add(" ".join(part[:30]) + "\nFINEST COAL AND BUTTER, 1952d. PER DOZEN\nAPPLY MARNOOK, 16 QUAY STREET\n" + " ".join(part[30:]), 9)
     swapped = [w if k % 5 else rng.choice(NOUNS) for k, w in enumerate(words(11)[:60])]
     add(lines(" ".join(swapped), 40))  # every fifth word is another
-    add(lines(" ".join(rng.choice(NAMES) if w.strip(".,") in NAMES else str(rng.randrange(2000)) if w.isdigit() else w for w in words(12)), 40))
+    add(lines(" ".join(NAMES[NAMES.index(w.strip(".,")) - 3] if w.strip(".,") in NAMES else str(int(w) * 7 + 11111) if w.isdigit() else w for w in words(12)), 40))
     return items, docs, want
 
 

@@ -117,7 +117,7 @@ def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code, np.repeat(np.arange(len(forms)), [len(f) for f in forms])
 
 
-Q = 7
+Q = 5
 _POWERS = 37 ** np.arange(Q, dtype=np.int64)
 
 
@@ -147,11 +147,13 @@ class Rules:
 
     words: int = 20  #: consecutive words of an item that make a leak
     clear: int = 16  #: letters in a row that are undamaged somewhere in a leak
-    windows: int = 3  #: template windows of an item that make a candidate
-    apart: int = 60  #: words of the item that hold them
-    drift: int = 36  #: words by which their places in item and document may shift
-    joined: int = 24  #: letters that damage may take within a stretch
-    damage: float = 0.4  #: share of the letters of such a gap, one more allowed, that may differ
+    #: Template windows of an item that make a candidate: how many, by how many words their places in
+    #: item and document may shift against each other, and how many words of the item hold them.
+    close: tuple[tuple[int, int, int], ...] = ((2, 20, 40), (3, 60, 80))
+    joined: int = 12  #: letters that damage may take at a time within a stretch
+    damage: float = 0.5  #: share of these letters, one more allowed, that may differ,
+    swapped: float = 0.34  #: or if they hold a whole word, which may be another one
+    single: int = 20  #: letters of words that stand alone in what a break skips
     lost: int = 1  #: letters lost where a passage breaks off and goes on,
     twice: int = 4  #: or by chance equal to what stands in between
     beside: int = 30  #: letters of foreign text that a stretch may skip,
@@ -250,17 +252,37 @@ class Items:
         item, place = self.at[inside, 0].astype(np.int64), self.at[inside, 1].astype(np.int64)
         where = a[source]
         pair = doc[where] * len(self.ids) + item
-        m = self.rules.windows - 1
-        # m windows further on: the same pair, near in the item, and as far apart in both.
-        if len(pair) <= m:
-            return []
+        # As many windows on of the same pair, near in the item and as far apart in both texts: a
+        # few close together, or more with foreign lines in between.
         offset = where - place
         order = np.lexsort((offset, pair))
         pair, offset, place = pair[order], offset[order], place[order]
-        spread = np.lib.stride_tricks.sliding_window_view(place, m + 1)
-        width = spread.max(axis=1) - spread.min(axis=1)
-        good = (pair[m:] == pair[:-m]) & (offset[m:] - offset[:-m] <= self.rules.drift) & (width <= self.rules.apart) & (width >= 2 * m)
-        return [(int(p // len(self.ids)), int(p % len(self.ids))) for p in np.unique(pair[:-m][good])]
+        found = []
+        for windows, drift, apart in self.rules.close:
+            m = windows - 1
+            if len(pair) <= m:
+                continue
+            spread = np.lib.stride_tricks.sliding_window_view(place, m + 1)
+            width = spread.max(axis=1) - spread.min(axis=1)
+            good = (pair[m:] == pair[:-m]) & (offset[m:] - offset[:-m] <= drift) & (width <= apart) & (width >= 2 * m)
+            found.append(pair[:-m][good])
+        if not found:
+            return []
+        return [(int(p // len(self.ids)), int(p % len(self.ids))) for p in np.unique(np.concatenate(found))]
+
+    def alike(self, item: int, a: int, b: int, other: np.ndarray) -> bool:
+        """Whether letters ``a`` to ``b`` of an item may be ``other``, damaged.  A whole word must be nearly right."""
+        r = self.rules
+        word = self.word[item]
+        off = distance(self.code[item][a:b], other)
+        if off <= 1:
+            return True
+        # Words that begin and end between a and b.
+        first = word[a] + (a > 0 and word[a - 1] == word[a]) if a < b else 0
+        last = word[b - 1] - (b < len(word) and word[b] == word[b - 1]) if a < b else -1
+        if a == b or first > last:
+            return off <= max(2, 1 + r.damage * (b - a))
+        return off <= 0.5 + r.swapped * (b - a)
 
     def printed(self, item: int, code: np.ndarray, grams: np.ndarray) -> int:
         """The most consecutive words of an item that stand among the letters of a document."""
@@ -298,7 +320,7 @@ class Items:
                 gi, gd = i0 + back - c[1], d0 + back - c[3]
                 if back >= i1 - i0 or gd > r.joined + 4 or (best is not None and gi + gd >= least):
                     continue
-                if (gi or gd) and distance(mine[c[1] : c[1] + gi], code[c[3] : c[3] + gd]) > 1 + r.damage * gi:
+                if (gi or gd) and not self.alike(item, c[1], c[1] + gi, code[c[3] : c[3] + gd]):
                     continue
                 best, least = c, gi + gd
             live = keep
@@ -313,15 +335,22 @@ class Items:
         # the next column, or in another column.  The farther away, the longer it must be.
         begin = [c[0] for c in parts]
         ends: dict[int, list[int]] = {}
+        own_text, page = mine.tobytes(), code.tobytes()
         for b, c in enumerate(parts):
-            for a in (a for e in range(c[0] - r.lost, c[0] + r.twice + 1) for a in ends.get(e, ())):
-                p = parts[a]
-                if begin[a] >= begin[b]:
-                    continue
-                away = abs(c[2] - p[3])
-                need = r.least if away <= r.beside else r.near if away <= r.reach else r.alone
-                if min(c[4], p[4]) >= need:
-                    begin[b] = begin[a]
+            for e in range(c[0] - r.single, c[0] + r.twice + 1):
+                for a in ends.get(e, ()):
+                    p = parts[a]
+                    if begin[a] >= begin[b]:
+                        continue
+                    away = abs(c[2] - p[3])
+                    need = r.least if away <= r.beside else r.near if away <= r.reach else r.alone
+                    if c[0] - e > r.lost:
+                        # A word or two may stand by themselves among the lines of the other column.
+                        need = r.near
+                        if not (p[3] < c[2] and away <= r.reach) or page.find(own_text[e : c[0]], p[3], c[2]) < 0:
+                            continue
+                    if min(c[4], p[4]) >= need:
+                        begin[b] = begin[a]
             ends.setdefault(c[1], []).append(b)
         word = self.word[item]
         whole = np.bincount(word)
