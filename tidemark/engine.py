@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,16 +133,21 @@ class Engine:
                 raise TimestampArchived(f"{name}: {ms} is before {oldest}")
         self.write(name, labels, [(ms, scalars)])
 
-    def ingest(self, requests: DataFrame, seq: str = "request_id", meta: TableMeta | None = None, retention: bool = False) -> dict[str, int]:
+    def ingest(self, requests: DataFrame, seq: str = "request_id", meta: TableMeta | None = None, retention: bool = False, path: str | None = None) -> dict[str, int]:
         """Nested write requests, each series to the table its ``__name__`` says, the sample as ``value``.
 
+        With ``path``, a folder that all executors share, the series are stored there by metric, once, and a
+        table reads only its own (each call needs a new folder); without, every scan of a table reads the requests again.
         Returns the counts of series ``written`` and ``rejected``: those without a name or with a label
         given twice.  The labels of a table are those of its first series, by ``seq`` and place in the
         request.  What reaches the driver is a row per metric.
         """
         series = checked_series(requests, seq)
-        good = series.where("problem is null")
         counts = series.groupBy(F.col("problem").isNull().alias("good")).count().collect()
+        good = series.where("problem is null")
+        if path:
+            good.write.partitionBy("metric").parquet(path)
+            good = self.spark.read.schema(good.schema).parquet(path)
         for row in first_labels(good):
             name, first, every = row["metric"], list(row["first"]), sorted(row["every"])
             old = self.tables.get(name)
@@ -196,10 +202,10 @@ class Engine:
 
     # --- sinks
 
-    def write_ipc(self, df: DataFrame, path: str) -> None:
+    def write_ipc(self, df: DataFrame, sink: str | BinaryIO) -> None:
         """A result as a closed Arrow file.  It passes through the driver: meant for results, not for tables."""
         t = df.toArrow()
-        with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, t.schema) as w:
+        with pa.ipc.new_file(sink, t.schema) as w:
             w.write_table(t)
 
     def archive(self, name: str, path: str) -> None:

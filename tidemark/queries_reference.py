@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -158,7 +159,7 @@ def remote_write_nested(spark: SparkSession, folder: str) -> DataFrame:
 def remote_write_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Every metric of the requests as a table of its own: slots and their values after last write wins."""
     e = Engine(spark, schema_mode="evolve")
-    e.ingest(table(spark, folder, "remote_writes"), meta=TableMeta(60, 60_000))
+    e.ingest(table(spark, folder, "remote_writes"), meta=TableMeta(60, 60_000), path=shared_folder(spark))
     out = []
     for name in sorted(e.tables):
         v = F.col("value")
@@ -179,12 +180,9 @@ def archive_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 def arrow_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """A result written as an Arrow file and read back."""
-    import tempfile
-
-    e = engine(spark, folder, "events")
-    with tempfile.NamedTemporaryFile(suffix=".arrow") as f:
-        e.write_ipc(e.query("sum by (event_type) (events)", now_ms=NOW), f.name)
-        t = pa.ipc.open_file(f.name).read_all()
+    e, f = engine(spark, folder, "events"), io.BytesIO()
+    e.write_ipc(e.query("sum by (event_type) (events)", now_ms=NOW), f)
+    t = pa.ipc.open_file(pa.BufferReader(f.getvalue())).read_all()
     return spark.createDataFrame(t).withColumn("value", F.round("value", 6))
 
 
