@@ -93,7 +93,7 @@ def test_the_best_boundary_is_taken():
     assert all(text[b - 2 : b] == "\n\n" for b in ends)
     words = "word " * 600
     assert all(words[b - 1] != " " and words[b] == " " for _, b, *_ in split_text(words, 900, 50)[:-1])
-    article = "lower case words\n" * 14 + "\nA HEADLINE\n" + "other words now\n" * 60 + "\n" + "other words now\n" * 60
+    article = "lower case words.\n" * 14 + "\nA HEADLINE\n" + "other words now\n" * 60 + "\n" + "other words now\n" * 60
     assert article[split_text(article, 450, 20)[0][1] :].startswith("A HEADLINE")
 
 

@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Containers of a window.
-WINDOW = 40
+#: Containers of a window, and documents of a shard on average.
+WINDOW, SHARD = 40, 100_000
 
 
 def pack_shard(items: list[tuple[object, object, int, int, int]], share: dict, carried: dict, capacity: int, window: int) -> list[tuple]:
@@ -101,15 +101,15 @@ def pack_documents(
     whole unless it alone exceeds the capacity; then it is cut into pieces that fill a container
     each and one that holds the rest.  A source's target is its share of all tokens.
 
-    ``shards`` (default: the shuffle partitions) bounds what one task holds: ids, sources and
-    sizes of its documents.  A hot source is spread over all shards.  All but about one
+    ``shards`` (default: the shuffle partitions, or more to keep shards at ``SHARD`` documents) bounds
+    what one task holds: ids, sources and sizes of its documents.  A hot source is spread over all shards.  All but about one
     container of a shard are filled from whatever is left in it.
 
     A NULL source is a source of its own.  NULL and empty texts hold no token and give no rows.
     Repeated rows are packed each for itself.  An empty table gives no rows.  Other columns are
     not read.  The result is a function of the rows, not of their order.
     """
-    n_shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_shards = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // SHARD + 1)
     sized = docs.select(
         docs[id_col].alias("doc"), docs[source_col].cast("string").alias("source"), F.octet_length(docs[text_col].cast("string")).cast("bigint").alias("tokens")
     ).where("tokens > 0")

@@ -80,8 +80,8 @@ def boundaries(raw: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Byte positions at which a piece may end, and their classes.
 
     A word ends before white space, a line after its line feed, a paragraph after an empty
-    line.  An article ends where a paragraph does and a headline (letters mostly capitals)
-    follows.
+    line.  An article ends where a paragraph does, with the end of a sentence, and a headline
+    (letters mostly capitals) follows; an advert amid a sentence is no article.
     """
     space = _SPACE[raw]
     at_word = np.flatnonzero(space[1:] & ~space[:-1]) + 1
@@ -95,7 +95,8 @@ def boundaries(raw: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
             stop = feeds[k + 1] if k + 1 < len(feeds) else len(data)
             line = data[feeds[k] + 1 : stop].decode("utf-8", "replace")
             letters = [c for c in line if c.isalpha()]
-            if len(letters) > 3 and sum(c.isupper() for c in letters) >= 0.8 * len(letters):
+            ended = data[max(0, feeds[k] - 8) : feeds[k]].rstrip()[-1:] in (b".", b"!", b"?")
+            if ended and len(letters) > 3 and sum(c.isupper() for c in letters) >= 0.8 * len(letters):
                 kind[k] = ARTICLE
     pos = np.concatenate((at_word, at_line))
     kinds = np.concatenate((np.full(len(at_word), WORD), kind))
