@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 UNITS = frozenset("pounds shillings pence crowns guineas miles yards feet inches tons days weeks months years hours visitors taler mark tage wochen jahre meilen ecus francs jours semaines lieues".split())
 NUMBER, NAME, UNIT, COMMON = -1, -2, -3, -4
 
-_HYPHEN = re.compile(r"[ \t]*[-=¬­‐‑]+[ \t]*\r?\n[ \t]*")
+_HYPHEN = re.compile(r"[-=¬\u00ad‐‑][-=¬\u00ad‐‑ \t]*\r?\n[ \t]*")
+_JOINT = re.compile(r"[ \t]+\x00")
 _WORD = re.compile(r"[a-z0-9]+")
 _PLAIN = str.maketrans({"ſ": "s", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ı": "i"})
 #: Letters that are read for each other, brought to one form.
@@ -39,7 +40,9 @@ _CONFUSED = (("vv", "w"), ("rn", "m"), ("cl", "d"), ("li", "h"), ("ii", "n"), ("
 
 def folded(text: str) -> str:
     """Lower case without accents; words broken by a hyphen at a line end are joined."""
-    text = _HYPHEN.sub("", text).lower()
+    text = _HYPHEN.sub("\x00", text.replace("\x00", " ")).lower()
+    if "\x00" in text:
+        text = _JOINT.sub("", text).replace("\x00", "")
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text.translate(_PLAIN)).encode("ascii", "ignore").decode()
     return text
@@ -117,15 +120,23 @@ def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code, np.repeat(np.arange(len(forms)), [len(f) for f in forms])
 
 
-Q = 5
-_POWERS = 37 ** np.arange(Q, dtype=np.int64)
+Q = 6
 
 
-def runs(code: np.ndarray) -> np.ndarray:
-    """Number of the Q letters that begin at each place."""
-    if len(code) < Q:
+def runs(code: np.ndarray, length: int = Q) -> np.ndarray:
+    """A number for the ``length`` letters that begin at each place: exact up to twelve, a hash beyond."""
+    if len(code) < length:
         return np.zeros(0, np.int64)
-    return np.lib.stride_tricks.sliding_window_view(code.astype(np.int64), Q) @ _POWERS
+    return np.lib.stride_tricks.sliding_window_view(code.astype(np.int64), length) @ (np.int64(37) ** np.arange(length, dtype=np.int64))
+
+
+class Page:
+    """The letters of a document and their runs."""
+
+    def __init__(self, words: list[str], clear: int):
+        self.code, _ = letters(words)
+        self.grams = runs(self.code)
+        self.long = np.unique(runs(self.code, clear))
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> int:
@@ -176,6 +187,7 @@ class Items:
     code: list[np.ndarray] = field(default_factory=list)
     word: list[np.ndarray] = field(default_factory=list)
     order: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    long: list[np.ndarray] = field(default_factory=list)
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     at: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int32))
 
@@ -216,6 +228,7 @@ class Items:
             grams = runs(code)
             order = np.argsort(grams, kind="stable")
             out.order.append((grams[order], order))
+            out.long.append(np.unique(runs(code, rules.clear)))
             number = np.array([vocabulary[w] for w in ws], np.int64)
             pos = np.flatnonzero(number >= 0)
             for skip in (1, 2):
@@ -284,9 +297,13 @@ class Items:
             return off <= max(2, 1 + r.damage * (b - a))
         return off <= 0.5 + r.swapped * (b - a)
 
-    def printed(self, item: int, code: np.ndarray, grams: np.ndarray) -> int:
+    def printed(self, item: int, page: Page) -> int:
         """The most consecutive words of an item that stand among the letters of a document."""
-        r = self.rules
+        r, code, grams, mine_long = self.rules, page.code, page.grams, self.long[item]
+        # Without one undamaged run of that length there is no leak, and nothing to align.
+        at = np.searchsorted(page.long, mine_long)
+        if not len(page.long) or not (page.long[np.minimum(at, len(page.long) - 1)] == mine_long).any():
+            return 0
         own, order = self.order[item]
         lo, hi = np.searchsorted(own, grams), np.searchsorted(own, grams, "right")
         n = hi - lo
@@ -298,46 +315,44 @@ class Items:
         i, d = i[by], d[by]
         start = np.flatnonzero(np.concatenate(([True], (np.diff(d - i) != 0) | (np.diff(i) > 1))))
         stop = np.concatenate((start[1:], [len(i)])) - 1
-        if (i[stop] - i[start]).max() + Q < r.clear:
-            return 0
         equal = sorted(zip(i[start].tolist(), (i[stop] + Q).tolist(), d[start].tolist(), (d[stop] + Q).tolist(), strict=True))
 
         # Stretches: equal letters, carried on over short gaps in which the letters are much alike.
         mine = self.code[item]
-        done: list[list[int]] = []
-        live: list[list[int]] = []
+        every: list[list[int]] = []
+        live: dict[int, list[list[int]]] = {}  # by where they end in the document
         for i0, i1, d0, d1 in equal:
             best, least = None, 0
-            keep = []
-            for c in live:
-                if i0 - c[1] > r.joined:
-                    done.append(c)
-                    continue
-                keep.append(c)
-                if i1 <= c[1] or d1 <= c[3]:
+            for key in ((d0 >> 5) - 1, d0 >> 5, (d0 >> 5) + 1):
+                here = live.get(key)
+                if not here:
                     continue
-                back = max(0, c[1] - i0, c[3] - d0)
-                gi, gd = i0 + back - c[1], d0 + back - c[3]
-                if back >= i1 - i0 or gd > r.joined + 4 or (best is not None and gi + gd >= least):
-                    continue
-                if (gi or gd) and not self.alike(item, c[1], c[1] + gi, code[c[3] : c[3] + gd]):
-                    continue
-                best, least = c, gi + gd
-            live = keep
-            if best is not None:
-                best[4] += i1 - max(i0, best[1])
-                best[1], best[3] = i1, d1
-            else:
-                live.append([i0, i1, d0, d1, i1 - i0])
-        parts = sorted(c for c in done + live if c[4] >= r.least)
+                here[:] = [c for c in here if c[3] >> 5 == key and i0 - c[1] <= r.joined]
+                for c in here:
+                    if i1 <= c[1] or d1 <= c[3]:
+                        continue
+                    back = max(0, c[1] - i0, c[3] - d0)
+                    gi, gd = i0 + back - c[1], d0 + back - c[3]
+                    if back >= i1 - i0 or gi > r.joined or gd > r.joined + 4 or (best is not None and gi + gd >= least):
+                        continue
+                    if (gi or gd) and not self.alike(item, c[1], c[1] + gi, code[c[3] : c[3] + gd]):
+                        continue
+                    best, least = c, gi + gd
+            if best is None:
+                best = [i0, i1, d0, d1, 0]
+                every.append(best)
+            best[4] += i1 - max(i0, best[1] if best[4] else i0)
+            best[1], best[3] = i1, d1
+            live.setdefault(d1 >> 5, []).append(best)
+        parts = sorted(c for c in every if c[4] >= r.least)
 
         # The passage goes on in another stretch where the last one ended: past an advert, a line of
         # the next column, or in another column.  The farther away, the longer it must be.
         begin = [c[0] for c in parts]
         ends: dict[int, list[int]] = {}
-        own_text, page = mine.tobytes(), code.tobytes()
+        own_text, page_text = mine.tobytes(), code.tobytes()
         for b, c in enumerate(parts):
-            for e in range(c[0] - r.single, c[0] + r.twice + 1):
+            for e in range(c[0] - (r.single if c[4] >= r.near else r.lost), c[0] + r.twice + 1):
                 for a in ends.get(e, ()):
                     p = parts[a]
                     if begin[a] >= begin[b]:
@@ -347,7 +362,7 @@ class Items:
                     if c[0] - e > r.lost:
                         # A word or two may stand by themselves among the lines of the other column.
                         need = r.near
-                        if not (p[3] < c[2] and away <= r.reach) or page.find(own_text[e : c[0]], p[3], c[2]) < 0:
+                        if not (p[3] < c[2] and away <= r.reach) or page_text.find(own_text[e : c[0]], p[3], c[2]) < 0:
                             continue
                     if min(c[4], p[4]) >= need:
                         begin[b] = begin[a]
@@ -412,12 +427,11 @@ def leaks(
                 for at in range(0, len(t), 500):
                     ids, texts = t["doc"].iloc[at : at + 500].tolist(), t["text"].iloc[at : at + 500].tolist()
                     words = [_WORD.findall(folded(x)) for x in texts]
-                    last, code, grams = -1, None, None
+                    last, page = -1, None
                     for d, k in block.candidates(words):
                         if d != last:
-                            code, _ = letters(words[d])
-                            grams, last = runs(code), d
-                        n = block.printed(k, code, grams)
+                            page, last = Page(words[d], block.rules.clear), d
+                        n = block.printed(k, page)
                         found.append((ids[d], block.ids[k], n, n >= block.rules.words))
                 yield pd.DataFrame(found, columns=["doc", "item", "words", "leaked"])
 
