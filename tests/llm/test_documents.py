@@ -219,6 +219,16 @@ def test_leaks_are_found_through_damage(spark, corpus):
     assert any(r["doc"] == 27 and r["item"] == 12 and not r["leaked"] for r in got)  # the template with other values
 
 
+def test_passages_without_template_words_are_found(spark):
+    rng = random.Random(4)
+    names = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4)).title() for _ in range(60)]
+    it = spark.createDataFrame([(1, "Among the guests were " + ", ".join(names) + "."), (2, passage(rng, 8))], "item_id long, text string")
+    printed = passage(rng, 4) + " " + ", ".join(names[10:40]) + " " + passage(rng, 4)
+    other = passage(rng, 4) + " " + ", ".join(rng.sample(names, 60)) + " " + passage(rng, 4)
+    got = leaks(documents(spark, [(1, "s", lines(printed, 30)), (2, "s", lines(other, 30))]), it)
+    assert [tuple(r) for r in got.where("leaked").collect()] == [(1, 1, 30, True)]
+
+
 def test_items_in_blocks_give_the_same(spark, corpus):
     items, docs, want = corpus
     it = spark.createDataFrame(items, "item_id long, text string")

@@ -7,6 +7,9 @@ template words in a row are a window, and a document that has several windows of
 together is a candidate.  Damaged words still find their template word over one lost, added or
 changed letter.
 
+Passages that leave few windows, such as short lines dense in names, are candidates by the runs of
+letters that item and document share.
+
 For each candidate the slots decide.  The letters of document and item, placeholders filled in
 again, are aligned by short runs of equal letters on neighbouring diagonals.  The longest stretch
 of the item's words that is printed tells a leak from a text of the same template with other
@@ -115,9 +118,9 @@ for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789"):
 
 def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the letters and digits of words, confused ones in one form, and the word of each."""
-    forms = [one_form(w) for w in words]
-    code = _CODE[np.frombuffer("".join(forms).encode(), np.uint8)]
-    return code, np.repeat(np.arange(len(forms)), [len(f) for f in forms])
+    code = _CODE[np.frombuffer(one_form(" ".join(words)).encode(), np.uint8)]
+    letter = code != 255
+    return code[letter], np.cumsum(~letter)[letter]
 
 
 Q = 6
@@ -127,14 +130,20 @@ def runs(code: np.ndarray, length: int = Q) -> np.ndarray:
     """A number for the ``length`` letters that begin at each place: exact up to twelve, a hash beyond."""
     if len(code) < length:
         return np.zeros(0, np.int64)
-    return np.lib.stride_tricks.sliding_window_view(code.astype(np.int64), length) @ (np.int64(37) ** np.arange(length, dtype=np.int64))
+    if length == 1:
+        return code.astype(np.int64)
+    # From runs of half the length: those that begin the run and those that end it.
+    half = length // 2
+    first = runs(code, half)
+    rest = first if 2 * half == length else runs(code, length - half)
+    return first[: len(code) - length + 1] + rest[half:] * np.array(37, np.int64) ** half
 
 
 class Page:
     """The letters of a document and their runs."""
 
-    def __init__(self, words: list[str], clear: int):
-        self.code, _ = letters(words)
+    def __init__(self, code: np.ndarray, clear: int):
+        self.code = code
         self.grams = runs(self.code)
         self.long = np.unique(runs(self.code, clear))
 
@@ -161,6 +170,8 @@ class Rules:
     #: Template windows of an item that make a candidate: how many, by how many words their places in
     #: item and document may shift against each other, and how many words of the item hold them.
     close: tuple[tuple[int, int, int], ...] = ((2, 20, 40), (3, 60, 80))
+    seed: int = 16  #: letters of a run that item and document share,
+    seeds: int = 28  #: and how many letters of a document begin one if that alone makes a candidate
     joined: int = 12  #: letters that damage may take at a time within a stretch
     damage: float = 0.5  #: share of these letters, one more allowed, that may differ,
     swapped: float = 0.34  #: or if they hold a whole word, which may be another one
@@ -190,6 +201,9 @@ class Items:
     long: list[np.ndarray] = field(default_factory=list)
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     at: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int32))
+    seeds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    marks: np.ndarray = field(default_factory=lambda: np.zeros(1 << 10, bool))
 
     @staticmethod
     def of(ids: list, texts: list[str], rules: Rules, langs: list | None = None) -> Items:
@@ -240,8 +254,40 @@ class Items:
             key, where = np.concatenate(keys), np.concatenate(at)
             order = np.argsort(key, kind="stable")
             out.keys, out.at = key[order], where[order].astype(np.int32)
+            out._index_seeds()
         return out
 
+    def _index_seeds(self) -> None:
+        """The runs of letters of all items, sorted, the item of each, and the hashes that occur."""
+        each = [np.unique(runs(code, self.rules.seed)) for code in self.code]
+        seed, owner = np.concatenate(each), np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each])
+        order = np.argsort(seed, kind="stable")
+        self.seeds, self.owner = seed[order], owner[order]
+        self.marks = np.zeros(1 << min(26, max(10, (16 * len(seed)).bit_length())), bool)
+        self.marks[self._mark(seed)] = True
+
+    def _mark(self, seed: np.ndarray) -> np.ndarray:
+        shift = 65 - len(self.marks).bit_length()
+        return (seed.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(shift)
+
+    def by_letters(self, codes: list[np.ndarray]) -> list[tuple[int, int]]:
+        """(document, item) of each pair with enough runs of equal letters, wherever they stand.
+
+        Short lines dense in names, as those of mixed columns, leave too few template windows, but not these.
+        """
+        found = []
+        for d, code in enumerate(codes):
+            seed = runs(code, self.rules.seed)
+            seed = seed[self.marks[self._mark(seed)]]
+            if len(seed) < self.rules.seeds:
+                continue
+            first, last = np.searchsorted(self.seeds, seed), np.searchsorted(self.seeds, seed, "right")
+            n = last - first
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            count = np.bincount(self.owner[inside], minlength=len(self.ids))
+            found += [(d, k) for k in np.flatnonzero(count >= self.rules.seeds).tolist()]
+        return found
+
     def candidates(self, documents: list[list[str]]) -> list[tuple[int, int]]:
         """(document, item) of each pair with enough template windows close together."""
         sizes = [len(d) for d in documents]
@@ -427,10 +473,11 @@ def leaks(
                 for at in range(0, len(t), 500):
                     ids, texts = t["doc"].iloc[at : at + 500].tolist(), t["text"].iloc[at : at + 500].tolist()
                     words = [_WORD.findall(folded(x)) for x in texts]
+                    codes = [letters(w)[0] for w in words]
                     last, page = -1, None
-                    for d, k in block.candidates(words):
+                    for d, k in sorted({*block.candidates(words), *block.by_letters(codes)}):
                         if d != last:
-                            page, last = Page(words[d], block.rules.clear), d
+                            page, last = Page(codes[d], block.rules.clear), d
                         n = block.printed(k, page)
                         found.append((ids[d], block.ids[k], n, n >= block.rules.words))
                 yield pd.DataFrame(found, columns=["doc", "item", "words", "leaked"])
