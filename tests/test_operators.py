@@ -161,6 +161,19 @@ def test_a_short_series_is_bridged_by_a_line(spark):
     assert [got[s]["value"] for s in range(0, 5000, 1000)] == pytest.approx([0, 2, 4, 6, 8])
 
 
+def test_short_series_have_season_and_trend_too(spark):
+    hour, start = 3_600_000, 19_800 * DAY
+    wave = lambda t: 20 + t / 24 + 5 * math.sin(2 * math.pi * t / 24)
+    rows = [("day", "m", start + t * hour, wave(t)) for t in range(37) if not 14 <= t < 20]
+    # The last reading is out of bounds, so the gap before it has one end to start from.
+    rows += [("half", "m", start + t * hour, 99_999.0 if t == 11 else 2.0 * t) for t in range(12) if not 7 <= t < 11]
+    got = grid_of(spark, rows, [("m", hour, -100.0, 100.0)])
+    for t in range(14, 20):
+        assert got["day"][start + t * hour]["value"] == pytest.approx(wave(t), abs=0.05)
+    for t in range(7, 11):
+        assert got["half"][start + t * hour]["value"] == pytest.approx(2.0 * t, abs=0.05)
+
+
 def test_normal_equations_match_least_squares():
     rng = np.random.default_rng(1)
     day = np.sort(rng.uniform(19_800, 19_860, 400))

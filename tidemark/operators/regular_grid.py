@@ -35,8 +35,9 @@ def _features(slot: Column, harmonics: int) -> list[Column]:
 def solve_normal_equations(a: np.ndarray, b: np.ndarray, spans: np.ndarray, ridge: float = 1e-8) -> np.ndarray:
     """Coefficients of each fit: ``a`` (n, p, p) and ``b`` (n, p) with rows 1, day, harmonics.
 
-    The day is centred first, for the sake of conditioning.  A series that spans less than two
-    days gets the mean alone, as its season can't be told from its trend.
+    The day is centred first, for the sake of conditioning.  A series that spans less than a day
+    gets mean and trend without harmonics; the trend is left out too where the readings lie within so
+    few minutes that the centred sums have no digits left for it.
     """
     n, p = b.shape
     out = np.zeros((n, p))
@@ -46,14 +47,17 @@ def solve_normal_equations(a: np.ndarray, b: np.ndarray, spans: np.ndarray, ridg
     shift[:, 1, 0] = -mean_day
     ac = shift @ a @ shift.transpose(0, 2, 1)
     bc = (shift @ b[:, :, None])[:, :, 0]
-    long = spans >= 2.0
-    if long.any():
-        m = ac[long]
-        scale = np.sqrt(np.maximum(np.einsum("nii->ni", m), 1e-12))
-        m = m / scale[:, :, None] / scale[:, None, :] + ridge * np.eye(p)
-        x = np.linalg.solve(m, (bc[long] / scale)[:, :, None])[:, :, 0] / scale
-        out[long] = x
-    out[~long, 0] = bc[~long, 0] / count[~long]
+    terms = np.where(spans >= 1.0, p, 2)
+    terms[(spans < 2.0) & (ac[:, 1, 1] <= 1e-13 * a[:, 1, 1])] = 1
+    for q in {2, p}:
+        part = terms == q
+        if part.any():
+            m = ac[part, :q, :q]
+            scale = np.sqrt(np.maximum(np.einsum("nii->ni", m), 1e-12))
+            m = m / scale[:, :, None] / scale[:, None, :] + ridge * np.eye(q)
+            out[part, :q] = np.linalg.solve(m, (bc[part, :q] / scale)[:, :, None])[:, :, 0] / scale
+    mean = terms == 1
+    out[mean, 0] = bc[mean, 0] / count[mean]
     out[:, 0] -= out[:, 1] * mean_day
     return out
 
