@@ -230,6 +230,15 @@ def test_faults_of_each_kind(spark):
     assert got == expected
 
 
+def test_spikes_hidden_by_taller_ones_are_all_found(spark):
+    rng = random.Random(12)
+    v = wandering(rng, 600)
+    at = range(300, 324, 3)
+    for j, k in enumerate(at):
+        v[k] += 60 * (len(at) - j)
+    assert faults(spark, [("a", "m", k * 1000, x) for k, x in enumerate(v)]) == dict.fromkeys(at, "spike")
+
+
 def test_no_faults(spark):
     rng = random.Random(2)
     steady = [("constant", "m", k * 1000, 7.0) for k in range(200)]

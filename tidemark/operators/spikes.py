@@ -6,7 +6,7 @@ ellipsoid whose axes come from medians.  Readings outside it are candidates.  A
 ``MAX_LENGTH`` readings that begins and ends with candidates is a spike if these lie far beyond
 everything shown just before and just after, no reading between them is back, and the series
 returns.  Confirmed
-spikes are taken out and the search is repeated, as a large spike hides smaller ones.
+spikes are taken out and the search is repeated until it finds none, as a large spike hides smaller ones.
 
 Stuck sensors are runs of differences near zero in a series that otherwise moves.  Values that
 are no numbers or outside the metric's physical limits need no context.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -47,7 +48,6 @@ class Limits:
     still_share: float = 0.25  #: most differences, outside runs, that may be still in a series that moves
     moving_share: float = 0.2  #: fewest differences of the whole that must move
     gap: float = 6.0  #: intervals without readings that may explain a jump
-    rounds: int = 4  #: repetitions at most
 
 
 def _by_group(x: np.ndarray, gid: np.ndarray, n: int) -> np.ndarray:
@@ -132,7 +132,8 @@ def find_spikes(
     flagged = np.zeros(len(v), bool)
     step_at, low_at, high_at = np.zeros(len(v)), np.full(len(v), np.nan), np.full(len(v), np.nan)
     todo = np.ones(n_groups, bool)
-    for turn in range(limits.rounds):
+    # Each round takes readings out, so there is a last one.
+    for turn in count():
         keep = np.flatnonzero(todo[gid] & ~flagged)
         if not len(keep):
             break
