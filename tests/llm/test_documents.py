@@ -229,6 +229,17 @@ def test_passages_without_template_words_are_found(spark):
     assert [tuple(r) for r in got.where("leaked").collect()] == [(1, 1, 30, True)]
 
 
+def test_a_leak_damaged_throughout_is_aligned(spark, corpus):
+    items, _, _ = corpus
+    damaged, n = "", 0  # every thirteenth letter is another
+    for c in " ".join(items[13][1].split()[:40]):
+        n += c.isalnum()
+        damaged += "x" if c.isalnum() and n % 13 == 0 else c
+    it = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["item"]: r["words"] for r in leaks(documents(spark, [(1, "s", lines(damaged, 40))]), it).collect()}
+    assert got[13] >= 30
+
+
 def test_items_in_blocks_give_the_same(spark, corpus):
     items, docs, want = corpus
     it = spark.createDataFrame(items, "item_id long, text string")

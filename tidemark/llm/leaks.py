@@ -142,10 +142,9 @@ def runs(code: np.ndarray, length: int = Q) -> np.ndarray:
 class Page:
     """The letters of a document and their runs."""
 
-    def __init__(self, code: np.ndarray, clear: int):
+    def __init__(self, code: np.ndarray):
         self.code = code
         self.grams = runs(self.code)
-        self.long = np.unique(runs(self.code, clear))
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> int:
@@ -166,7 +165,6 @@ class Rules:
     """Parameters of the search."""
 
     words: int = 20  #: consecutive words of an item that make a leak
-    clear: int = 16  #: letters in a row that are undamaged somewhere in a leak
     #: Template windows of an item that make a candidate: how many, by how many words their places in
     #: item and document may shift against each other, and how many words of the item hold them.
     close: tuple[tuple[int, int, int], ...] = ((2, 20, 40), (3, 60, 80))
@@ -198,7 +196,6 @@ class Items:
     code: list[np.ndarray] = field(default_factory=list)
     word: list[np.ndarray] = field(default_factory=list)
     order: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    long: list[np.ndarray] = field(default_factory=list)
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     at: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int32))
     seeds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -242,7 +239,6 @@ class Items:
             grams = runs(code)
             order = np.argsort(grams, kind="stable")
             out.order.append((grams[order], order))
-            out.long.append(np.unique(runs(code, rules.clear)))
             number = np.array([vocabulary[w] for w in ws], np.int64)
             pos = np.flatnonzero(number >= 0)
             for skip in (1, 2):
@@ -345,11 +341,7 @@ class Items:
 
     def printed(self, item: int, page: Page) -> int:
         """The most consecutive words of an item that stand among the letters of a document."""
-        r, code, grams, mine_long = self.rules, page.code, page.grams, self.long[item]
-        # Without one undamaged run of that length there is no leak, and nothing to align.
-        at = np.searchsorted(page.long, mine_long)
-        if not len(page.long) or not (page.long[np.minimum(at, len(page.long) - 1)] == mine_long).any():
-            return 0
+        r, code, grams = self.rules, page.code, page.grams
         own, order = self.order[item]
         lo, hi = np.searchsorted(own, grams), np.searchsorted(own, grams, "right")
         n = hi - lo
@@ -477,7 +469,7 @@ def leaks(
                     last, page = -1, None
                     for d, k in sorted({*block.candidates(words), *block.by_letters(codes)}):
                         if d != last:
-                            page, last = Page(codes[d], block.rules.clear), d
+                            page, last = Page(codes[d]), d
                         n = block.printed(k, page)
                         found.append((ids[d], block.ids[k], n, n >= block.rules.words))
                 yield pd.DataFrame(found, columns=["doc", "item", "words", "leaked"])
