@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.heavy_keys import heavy_keys, keyed_totals
 from tidemark.operators.regular_grid import regular_grid, solve_normal_equations
 from tidemark.operators.rolling import rolling_totals
-from tidemark.operators.spikes import BLOCK, Limits, faulty_readings, judge
+from tidemark.operators import spikes
+from tidemark.operators.spikes import BLOCK, MARGIN, Limits, faulty_readings, judge, moves
 
 DAY = 86_400_000
 #: Columns that operators use for themselves inside.
@@ -262,6 +263,42 @@ def test_bounds_alone(spark):
     assert faults(spark, rows[:0], meta) == {}
 
 
+def whole(v):
+    """The faults of one series of a reading a second, judged in one piece."""
+    n = len(v)
+    spike, stuck, counts = judge(np.zeros(n, np.int64), np.arange(n) * 1000, np.array(v), np.full(n, 1000), Limits())
+    return {k: "spike" if spike[k] else "stuck" for k in np.flatnonzero(spike | (stuck & moves(*counts[0], Limits()))).tolist()}
+
+
+@pytest.mark.parametrize("block", [2 * MARGIN, 4096, BLOCK])
+def test_long_frozen_runs_are_found_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(spikes, "BLOCK", block)
+    rng = random.Random(20)
+    rows, want = [], {}
+    for name, run in (("a", 4000), ("b", 9000), ("c", 15_000)):
+        v = wandering(rng, run + 12_000)
+        for at in (100, 3000, run + 8000):
+            v[at] += 80
+        for k in range(5000, 5000 + run):
+            v[k] = v[5000]
+        found = whole(v)
+        assert {k for k, f in found.items() if f == "stuck"} == set(range(5000, 5000 + run))
+        want |= {len(rows) + k: f for k, f in found.items()}
+        rows += [(name, "m", k * 1000, x) for k, x in enumerate(v)]
+    assert faults(spark, rows) == want
+
+
+def test_the_ellipsoid_decides(monkeypatch):
+    v = wandering(random.Random(21), 800)
+    for k in (200, 400, 401, 600):
+        v[k] += 40
+    assert whole(v) == dict.fromkeys((200, 400, 401, 600), "spike")
+    monkeypatch.setattr(spikes, "outside_ellipsoid", lambda v, *_: np.ones(len(v), bool))
+    assert len(whole(v)) > 100  # the shape of an excursion alone is nothing rare
+    monkeypatch.setattr(spikes, "outside_ellipsoid", lambda v, *_: np.zeros(len(v), bool))
+    assert whole(v) == {}
+
+
 def test_blocks_of_a_long_series_agree_with_the_whole(spark):
     rng = random.Random(4)
     n = 2 * BLOCK + 500
@@ -274,8 +311,7 @@ def test_blocks_of_a_long_series_agree_with_the_whole(spark):
     for k in range(BLOCK - 30, BLOCK - 14):
         v[k] = v[BLOCK - 30]
     got = set(faults(spark, [("a", "m", k * 1000, x) for k, x in enumerate(v)]))
-    spike, stuck = judge(np.zeros(n, np.int64), np.arange(n) * 1000, np.array(v), np.full(n, 1000), Limits())
-    assert got == set(np.flatnonzero(spike | stuck).tolist())
+    assert got == set(whole(v))
     assert {BLOCK - 2, BLOCK, BLOCK + 702, 2 * BLOCK + 2, BLOCK - 20} <= got
 
 
