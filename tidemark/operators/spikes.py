@@ -338,7 +338,8 @@ def faulty_readings(
     placed = judged.select("seq", "_key", "_ts", "_value", "_step", F.explode(F.array_compact(F.array(own, near))).alias("_block"), own.alias("_own"))
     place, mine = ["_key", "_block"], ["_key", "_block", "_ts", "_value"]
     sent = combined_in_task(placed.select(*mine, "_step", "seq", (F.col("_block") == F.col("_own")).alias("_mine")), [*mine, "_step", "_mine"], "seq")
-    in_blocks = sent.repartition(*place)
+    # The join below asks for places that aren't NULL; asked for here, both passes share one shuffle.
+    in_blocks = sent.where("_key is not null and _block is not null").repartition(*place)
 
     def columns(t: pa.Table, *names: str) -> list[np.ndarray]:
         key, block = t.column("_key").to_numpy(), t.column("_block").to_numpy()
