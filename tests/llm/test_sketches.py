@@ -58,6 +58,17 @@ def test_parts_merge_and_any_union_or_intersection_is_exact(spark):
     assert get(membership.count_all(totals, [a, b])) == {k: len(one[k] & two[k]) for k in one if one[k] & two[k]}
 
 
+def test_a_hot_pattern_is_counted_in_the_tasks(spark):
+    """Nine of ten identifiers have the same pattern: their rows don't go to one task."""
+    ids = spark.range(200_000).select(F.lit("k").alias("kind"), F.col("id").cast("string").alias("who"), F.when(F.col("id") % 10 < 9, F.lit(1)).otherwise(F.col("id").cast("int")).alias("day"), F.lit("t").alias("tenant"), F.lit("z").alias("zone"), F.lit("x").alias("id1"))
+    members = membership.memberships(ids, "kind", "who", GROUPS)
+    totals = membership.pattern_totals(members, GROUPS)
+    assert totals.where("day = 1").select(F.sum("n")).first()[0] >= 180_000
+    named = members.withColumn("x", F.lit(1)).select("kind", *GROUPS)
+    sent = membership.counted_in_task(named.where("day = 1"), "n")
+    assert sent.count() <= named.rdd.getNumPartitions() * 2
+
+
 def test_null_and_empty_differ_in_patterns(spark):
     df = spark.createDataFrame([("k", "a", 1, None, "z", ""), ("k", "b", 1, "", "z", ""), ("k", "c", None, "1", "z", ""), ("k", "d", 1, None, "1", "")], SCHEMA)
     totals = membership.pattern_totals(membership.memberships(df, "kind", "who", GROUPS), GROUPS)
@@ -87,7 +98,7 @@ def test_percentiles_keep_their_bound_over_days(spark):
     for g, vs in exact.items():
         r = got["g", g]
         assert r["n"] == len(vs)
-        slack = 2 * r["rank_error"] * len(vs) + 1
+        slack = r["rank_error"] * len(vs) + 1
         for q in percentiles.QUANTILES:
             x = r[f"p{q * 100:g}"]
             assert sum(v < x for v in vs) <= q * len(vs) + slack and sum(v <= x for v in vs) >= q * len(vs) - slack
@@ -96,4 +107,4 @@ def test_percentiles_keep_their_bound_over_days(spark):
 
 
 def test_rank_error():
-    assert percentiles.rank_error(800) == pytest.approx(0.0055, abs=1e-4)
+    assert percentiles.rank_error(800) == pytest.approx(0.00345, abs=1e-5)

@@ -18,6 +18,7 @@ from itertools import combinations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IDENTIFIER = ["kind", "id1", "id2"]
 PATTERN = ["kind", "name1", "name2"]
@@ -27,22 +28,27 @@ PATTERN = ["kind", "name1", "name2"]
 GATHERED = 200_000
 
 
-def distinct_in_task(df: DataFrame) -> DataFrame:
-    """Fewer repetitions, without a shuffle: distinct among each ``GATHERED`` rows of a task."""
+def counted_in_task(df: DataFrame, n: str | None = None) -> DataFrame:
+    """Fewer repetitions, without a shuffle: one row of those alike among each ``GATHERED`` of a task, how many in ``n``."""
+
+    def grouped(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = held[0].schema.names
+        t = pa.Table.from_batches(held).group_by(names, use_threads=False).aggregate([([], "count_all")] if n else [])
+        yield from t.select([*names, "count_all"]).rename_columns([*names, n]).to_batches() if n else t.to_batches()
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n = 0
+        size = 0
         for b in batches:
             held.append(b)
-            n += b.num_rows
-            if n >= GATHERED:
-                yield from pa.Table.from_batches(held).group_by(b.schema.names, use_threads=False).aggregate([]).to_batches()
-                held, n = [], 0
-        if n:
-            yield from pa.Table.from_batches(held).group_by(held[0].schema.names, use_threads=False).aggregate([]).to_batches()
+            size += b.num_rows
+            if size >= GATHERED:
+                yield from grouped(held)
+                held, size = [], 0
+        if size:
+            yield from grouped(held)
 
-    return df.mapInArrow(once, df.schema)
+    return df.mapInArrow(once, T.StructType([*df.schema, *([T.StructField(n, T.LongType())] if n else [])]))
 
 
 def memberships(df: DataFrame, kind: str, identifier: str, groups: Sequence[str]) -> DataFrame:
@@ -58,7 +64,7 @@ def memberships(df: DataFrame, kind: str, identifier: str, groups: Sequence[str]
         F.xxhash64(df[identifier], F.lit(5)).alias("id2"),
         *[df[g].alias(g) for g in groups],
     )
-    return distinct_in_task(rows).repartition(*IDENTIFIER).distinct()
+    return counted_in_task(rows).repartition(*IDENTIFIER).distinct()
 
 
 def merge(parts: Sequence[DataFrame]) -> DataFrame:
@@ -90,7 +96,8 @@ def pattern_totals(members: DataFrame, groups: Sequence[str]) -> DataFrame:
         F.bit_xor(_group_hash(groups, 2)).over(whole).alias("name2"),
     )
     # Each identifier has one row per group of its pattern, so rows of a pattern and group count its identifiers.
-    return named.repartition(*PATTERN).groupBy(*PATTERN, *groups).agg(F.count("*").alias("n"))
+    # A pattern that most of them have is counted in each task first: it sends a row per group, not per identifier.
+    return counted_in_task(named, "n").repartition(*PATTERN).groupBy(*PATTERN, *groups).agg(F.sum("n").alias("n"))
 
 
 def count_any(totals: DataFrame, condition: Column) -> DataFrame:
