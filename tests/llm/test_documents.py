@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm.leaks import Items, Rules, distance, folded, leaks
-from tidemark.llm.packing import pack_documents
+from tidemark.llm import packing
+from tidemark.llm.packing import pack_documents, pack_shard
 from tidemark.llm.splitting import BLOCK_WORDS, boundaries, cohesion, rank_file_tokens, split_documents, split_text, words_of
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -51,14 +52,50 @@ def test_containers_do_not_depend_on_the_order_of_rows(spark):
     assert sorted(one) == sorted(pack_documents(documents(spark, rows).repartition(7), capacity=100, shards=3).collect())
 
 
-def test_windows_keep_the_mixture(spark):
+def test_containers_do_not_depend_on_the_session(spark, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(packing, "SHARD", 300)
+    df = documents(spark, [(k, rng.choice("abc"), "x" * rng.randrange(1, 150)) for k in range(1000)])
+    got = []
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 8, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted(pack_documents(df, capacity=200).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got[0] == got[1] == got[2] and len({r["container"] >> 32 for r in got[0]}) == 4
+    load = defaultdict(int)
+    for r in got[0]:
+        load[r["container"]] += r["n_tokens"]
+    assert sum(load.values()) / 200 / len(load) > 0.97
+
+
+@pytest.mark.parametrize("n_sources", [2, 30])
+def test_windows_keep_the_mixture(n_sources):
+    """Total variation of each whole window from the shares of all, and how full the containers are."""
     rng = random.Random(3)
-    rows = [(k, "big" if k % 4 else "small", "x" * rng.randrange(5, 60)) for k in range(4000)]
-    got = pack_documents(documents(spark, rows), capacity=200, window=20, shards=1).toPandas()
-    share = sum(len(t) for _, s, t in rows if s == "small") / sum(len(t) for *_, t in rows)
-    seen = got.groupby("window").apply(lambda w: w.n_tokens[w.source == "small"].sum() / w.n_tokens.sum(), include_groups=False)
-    assert np.abs(seen[:-2] - share).max() < 0.05
-    assert pack_documents(documents(spark, rows).limit(0)).count() == 0
+    names = [None, *(f"s{k}" for k in range(n_sources - 1))]
+    weight = [1 / (k + 1) for k in range(n_sources)]
+    sizes = [min(6000, int(rng.lognormvariate(7.4, 1)) + 1) for _ in range(12_000)]
+    items = [(k, s, 0, 0, n) for k, (s, n) in enumerate(zip(rng.choices(names, weight, k=12_000), sizes, strict=True))]
+    window = 320
+    packed = pack_shard(items, 6000, window)
+    assert sorted(x[3] for x in packed) == list(range(12_000))
+    total, every = defaultdict(float), sum(sizes)
+    for _, s, _, _, n in items:
+        total[s] += n / every
+    for w in range(packed[-1][0] // window):
+        seen = defaultdict(float)
+        for c, _, at, _, s, _, _, n in packed:
+            if at == w:
+                seen[s] += n
+        assert sum(abs(seen[s] / sum(seen.values()) - total[s]) for s in names) / 2 < 0.05
+    assert every / 6000 / (packed[-1][0] + 1) > 0.99
+
+
+def test_nothing_to_pack(spark):
+    assert pack_documents(documents(spark, [(1, "a", "x")]).limit(0)).count() == 0
 
 
 # --- splitting

@@ -1,9 +1,12 @@
 """Packing documents into containers with a controlled mixture of sources.
 
 Documents are spread over shards by a hash, without their texts.  In a shard each source is a
-queue.  Deficit round robin over the queues fills one window of containers after the other to
-the sources' share of all tokens; what a source has got too much or too little of is carried
-into the next window, and from shard to shard by prefix sums over the shards' totals.
+queue.  Deficit round robin over the queues fills the containers of one window after the other to
+the sources' shares: with every container each source is owed its share of it, what it gives is
+taken off, and a source may be ahead by less than a container.  What a source is owed is carried into the next
+window.  Between shards it is settled: a source's share of a container is its share of all tokens, plus what it is
+owed when the shard begins less what it will be owed when it ends, spread over the shard's containers.  That
+is its share of the shard's own tokens, so no queue runs dry long before the others and no shard waits for another.
 """
 
 from __future__ import annotations
@@ -11,75 +14,75 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Containers of a window, and documents of a shard on average.
-WINDOW, SHARD = 40, 100_000
+WINDOW, SHARD = 640, 50_000
+#: Share of a container that a source may be ahead by.
+AHEAD = 0.75
 
 
-def pack_shard(items: list[tuple[object, object, int, int, int]], share: dict, carried: dict, capacity: int, window: int) -> list[tuple]:
+def pack_shard(items: list[tuple[object, object, int, int, int]], capacity: int, window: int) -> list[tuple]:
     """Packs (doc, source, piece, start, tokens), at most ``capacity`` tokens each.
 
     Returns (container, position, window, doc, source, piece, start, tokens), containers from 0.
 
-    The source with the largest deficit gives its largest document that fits and isn't larger
-    than the deficit, else its largest that fits.  Once a container is half full, a source that
-    is owed as much and has a document leaving at most 1 % of the capacity closes it; without
-    one, the largest document of any source that fits goes in.  The sizes present are bits of
-    one number for each source, so the largest that fits is found without a search.
+    A source is eligible for documents that don't put it further ahead than ``AHEAD``.  While a container is
+    less than half full, the source that is owed most among the eligible ones gives its largest document that
+    fits; then the largest that fits of any eligible source goes in.  Only if no source is eligible, the one
+    that is owed most of those with something that fits gives it, and not for the last fiftieth of a container.
+    The sizes present are bits of one number for each source, so the largest that fits is found
+    without a search.
     """
     queue: dict = defaultdict(lambda: defaultdict(list))
     for item in sorted(items, key=lambda x: (str(x[1]), x[4], str(x[0]), x[2], x[3]), reverse=True):
         queue[item[1]][item[4]].append(item)
     bits = {s: sum(1 << n for n in sizes) for s, sizes in queue.items()}
-    holders: dict = defaultdict(set)
-    for s, sizes in queue.items():
-        for n in sizes:
-            holders[n].add(s)
-    every = 0
-    for b in bits.values():
-        every |= b
-    names = {s: str(s) for s in queue}
-    deficit = {s: carried.get(s, 0.0) for s in queue}
+    ahead = AHEAD * capacity
+    rank = {s: k for k, s in enumerate(sorted(queue, key=lambda s: (s is not None, str(s))))}
+    whole = sum(item[4] for item in items)
+    share = {s: sum(n * len(found) for n, found in sizes.items()) / whole for s, sizes in queue.items()}
+    deficit = dict.fromkeys(rank, 0.0)
+    largest = lambda s, most: (bits[s] & ((1 << (max(most, 0) + 1)) - 1)).bit_length() - 1
+    owed = lambda s: (deficit[s], rank[s])
     out: list[tuple] = []
     container = 0
-    while every:
-        if container % window == 0:
-            for s in deficit:
-                deficit[s] += share.get(s, 0.0) * capacity * window
+    while bits:
+        for s in deficit:
+            deficit[s] += share[s] * capacity
         room, position = capacity, 0
-        while room > 0 and every:
-            fits = (1 << (room + 1)) - 1
-            if not every & fits:
-                break
+        while room > 0:
+            best, size = None, 0
             if room * 2 > capacity:
-                s = max((x for x in bits if bits[x] & fits), key=lambda x: (deficit[x], names[x]))
-                owed = (1 << (max(0, int(deficit[s])) + 1)) - 1
-                n = (bits[s] & fits & owed or bits[s] & fits).bit_length() - 1
-            else:
-                n = (every & fits).bit_length() - 1
-                s = max(holders[n], key=lambda x: (deficit[x], names[x]))
-                tight = room - capacity // 100
-                for x in sorted(bits, key=lambda x: (-deficit[x], names[x])):
-                    if deficit[x] < tight:
-                        break
-                    m = (bits[x] & fits).bit_length() - 1
-                    if m > 0 and m >= tight:
-                        s, n = x, m
+                for s in sorted(bits, key=owed, reverse=True):
+                    size = largest(s, min(room, int(deficit[s] + ahead)))
+                    if size > 0:
+                        best = s
                         break
-            doc, source, piece, start, tokens = queue[s][n].pop()
-            if not queue[s][n]:
-                del queue[s][n]
-                bits[s] ^= 1 << n
-                holders[n].discard(s)
-                if not holders[n]:
-                    every ^= 1 << n
-                if not bits[s]:
-                    del bits[s]
-            deficit[s] -= n
+            else:
+                for s in bits:
+                    most = min(room, int(deficit[s] + ahead))
+                    if most < max(size, 1):
+                        continue
+                    n = largest(s, most)
+                    if n > size or (n == size > 0 and owed(s) > owed(best)):
+                        best, size = s, n
+            if best is None:
+                fits = [s for s in bits if largest(s, room) > 0]
+                if not fits or (position and room * 50 < capacity):
+                    break
+                best = max(fits, key=owed)
+                size = largest(best, room)
+            doc, source, piece, start, tokens = queue[best][size].pop()
+            if not queue[best][size]:
+                del queue[best][size]
+                bits[best] ^= 1 << size
+                if not bits[best]:
+                    del bits[best]
+            deficit[best] -= size
             out.append((container, position, container // window, doc, source, piece, start, tokens))
-            room -= n
+            room -= size
             position += 1
         container += 1
     return out
@@ -99,66 +102,37 @@ def pack_documents(
     Columns: ``container`` (bigint), ``position`` (from 0), ``window``, ``doc``, ``source``, ``piece``,
     ``start_token`` and ``n_tokens``.  A token is a byte of the UTF-8 text.  A document stays
     whole unless it alone exceeds the capacity; then it is cut into pieces that fill a container
-    each and one that holds the rest.  A source's target is its share of all tokens.
+    each and one that holds the rest.  A source's target is its share of the tokens of its shard.
 
-    ``shards`` (default: the shuffle partitions, or more to keep shards at ``SHARD`` documents) bounds
-    what one task holds: ids, sources and sizes of its documents.  A hot source is spread over all shards.  All but about one
-    container of a shard are filled from whatever is left in it.
+    ``shards`` (default: as many as keep them at ``SHARD`` documents, whatever the session's settings) bounds
+    what one task holds: ids, sources and sizes of its documents.  A hot source is spread over all shards.
 
     A NULL source is a source of its own.  NULL and empty texts hold no token and give no rows.
     Repeated rows are packed each for itself.  An empty table gives no rows.  Other columns are
     not read.  The result is a function of the rows, not of their order.
     """
-    n_shards = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // SHARD + 1)
+    n_shards = shards or docs.count() // SHARD + 1
     sized = docs.select(
         docs[id_col].alias("doc"), docs[source_col].cast("string").alias("source"), F.octet_length(docs[text_col].cast("string")).cast("bigint").alias("tokens")
     ).where("tokens > 0")
     sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc", "tokens"), F.lit(n_shards)).cast("int"))
 
-    # Tokens of each shard and source: shards x sources rows.  Deficit of a source when a shard
-    # starts = its share of all tokens in the shards before, less its own tokens there.
-    totals = sized.groupBy("shard", "source").agg(F.sum("tokens").alias("n"))
-    by_shard = totals.groupBy("shard").agg(F.sum("n").alias("shard_n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_shard.select(
-        F.col("shard").alias("_shard"),
-        F.coalesce(F.sum("shard_n").over(before), F.lit(0)).alias("_all_before"),
-        F.sum("shard_n").over(Window.partitionBy(F.lit(1))).alias("_all"),
-    )
-    own = Window.partitionBy("source")
-    targets = (
-        totals.select(
-            "shard",
-            "source",
-            F.coalesce(F.sum("n").over(own.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_own_before"),
-            F.sum("n").over(own).alias("_own"),
-        )
-        .join(starts, F.col("shard") == F.col("_shard"))
-        .select(
-            F.col("shard").alias("to_shard"),
-            F.col("source").alias("to_source"),
-            (F.col("_own") / F.col("_all")).cast("double").alias("share"),
-            (F.col("_own") / F.col("_all") * F.col("_all_before") - F.col("_own_before")).cast("double").alias("carried"),
-        )
-    )
     kind = sized.schema["doc"].dataType.simpleString()
     names = ["container", "position", "window", "doc", "source", "piece", "start_token", "n_tokens"]
 
-    def pack(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         name = lambda s: None if pd.isna(s) else s
         items = []
-        for doc, source, tokens in zip(left["doc"], left["source"], left["tokens"], strict=True):
-            source = name(source)
+        for doc, source, tokens in zip(rows["doc"], rows["source"], rows["tokens"], strict=True):
             for piece, start in enumerate(range(0, int(tokens), capacity)):
-                items.append((name(doc), source, piece, start, min(capacity, int(tokens) - start)))
-        sources = [name(s) for s in right["to_source"]]
-        packed = pack_shard(items, dict(zip(sources, right["share"], strict=True)), dict(zip(sources, right["carried"], strict=True)), capacity, window)
-        out = pd.DataFrame(packed, columns=names)
+                items.append((name(doc), name(source), piece, start, min(capacity, int(tokens) - start)))
+        out = pd.DataFrame(pack_shard(items, capacity, window), columns=names)
         out["container"] += int(key[0]) << 32
         return out
 
+    # By number, as adaptive execution would merge these small partitions into one.
     return (
-        sized.groupBy("shard")
-        .cogroup(targets.groupBy("to_shard"))
+        sized.repartition(n_shards, "shard")
+        .groupBy("shard")
         .applyInPandas(pack, f"container bigint, position int, window int, doc {kind}, source string, piece int, start_token bigint, n_tokens bigint")
     )
