@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.leaks import Items, Rules, distance, folded, leaks
+from tidemark.llm.leaks import COMMON, NAME, NUMBER, UNIT, Rules, Vocabulary, distance, document_windows, folded, item_windows, leaks, vocabulary_of
 from tidemark.llm import packing
 from tidemark.llm.packing import pack_documents, pack_shard
 from tidemark.llm.splitting import BLOCK_WORDS, boundaries, cohesion, rank_file_tokens, split_documents, split_text, words_of
@@ -263,7 +263,7 @@ def test_passages_without_template_words_are_found(spark):
     printed = passage(rng, 4) + " " + ", ".join(names[10:40]) + " " + passage(rng, 4)
     other = passage(rng, 4) + " " + ", ".join(rng.sample(names, 60)) + " " + passage(rng, 4)
     got = leaks(documents(spark, [(1, "s", lines(printed, 30)), (2, "s", lines(other, 30))]), it)
-    assert [tuple(r) for r in got.where("leaked").collect()] == [(1, 1, 30, True)]
+    assert [tuple(r) for r in got.where("leaked").collect()] == [(1, 1, 30, True, 30, 0)]
 
 
 def test_a_leak_damaged_throughout_is_aligned(spark, corpus):
@@ -277,11 +277,57 @@ def test_a_leak_damaged_throughout_is_aligned(spark, corpus):
     assert got[13] >= 30
 
 
-def test_items_in_blocks_give_the_same(spark, corpus):
+def test_rows_depend_on_the_tables_alone(spark, corpus):
     items, docs, want = corpus
     it = spark.createDataFrame(items, "item_id long, text string")
-    got = leaks(documents(spark, docs), it, rules=Rules(max_letters=5000))
-    assert {(r["doc"], r["item"]) for r in got.where("leaked").collect()} == want
+    got = [sorted(leaks(documents(spark, docs).repartition(n), it.repartition(n)).collect()) for n in (1, 4, 40)]
+    assert got[0] == got[1] == got[2]
+    assert {(r["doc"], r["item"]) for r in got[0] if r["leaked"]} == want
+
+
+def near(rng, w):
+    """A number or name that is one digit or letter off."""
+    k = rng.randrange(1, len(w))
+    return w[:k] + rng.choice([c for c in ("123456789" if w.isdigit() else "abdegkmprt") if c != w[k]]) + w[k + 1 :]
+
+
+def test_reparameterised_items_are_no_leaks(spark):
+    """Of sixty items each is printed once, damaged, and once with every number and name a little different."""
+    rng = random.Random(17)
+    place = lambda: "".join(rng.choice(["Brun", "Dov", "Kes", "Lor", "Mar", "Nar", "Os", "Pel", "Ruf", "Tes"]) + rng.choice(["a", "e", "i", "o"]) for _ in range(2)) + rng.choice(["mouth", "dale", "bury", "wick"])
+    items, docs = [], []
+    for k in range(60):
+        out = [f"In {place()} {rng.randrange(1200, 9999)} visitors {rng.choice(VERBS)} the {rng.choice(NOUNS)} while the {rng.choice(NOUNS)} of {place()} {rng.choice(VERBS)} {rng.randrange(1200, 9999)} days." for _ in range(4)]
+        items.append((k, " ".join(out)))
+        as_is = "".join(c if rng.random() > 0.01 or not c.isalpha() else "x" for c in " ".join(out[1:3]))
+        other = [near(rng, w) if w.isdigit() or (w[0].isupper() and w != "In") else w for w in items[k][1].split()]
+        docs += [(2 * k, "s", lines(passage(rng, 3) + " " + as_is + " " + passage(rng, 3), 40)), (2 * k + 1, "s", lines(passage(rng, 3) + " " + " ".join(other), 40))]
+    it = spark.createDataFrame(items, "item_id long, text string")
+    got = leaks(documents(spark, docs), it).collect()
+    leaked = {(r["doc"], r["item"]) for r in got if r["leaked"]}
+    assert leaked == {(2 * k, k) for k in range(60)}
+    told = {(r["doc"], r["item"]) for r in got if not r["leaked"] and r["n_other"] >= 3 and r["n_other"] * 2 > r["n_slots"]}
+    assert told >= {(2 * k + 1, k) for k in range(60)} and len(told) <= 62
+
+
+def test_placeholders_are_part_of_the_windows():
+    known = {"harbour": 0, "kettle": 1, "mended": 2, "tordale": 3, "crowns": UNIT, "the": COMMON}
+    v = Vocabulary(known, 3)
+    words = "the harbour tordale mended 1718 kettle crowns".split()
+    windows = item_windows(words, v)
+    place, key, every, slots = document_windows(["the harbour zelbury mended the 1719 kettle crowns".split()], v, 16)[1:]
+    met = {(k, p): s for k, p, s, _ in windows}
+    # The same template with another name and number: the keys meet, the slots tell them apart.
+    joined = [(met[k, 1], "".join(every[x] for x in row if x >= 0)) for k, row in zip(key.tolist(), slots.tolist(), strict=True) if (k, 1) in met]
+    assert ("tordale", "zelbury") in [(a.replace("d", "d"), b) for a, b in joined]
+    # Kinds are told apart in the keys, and without placeholders other windows are left.
+    one = lambda kind: v.windows(np.array([[0, kind, 2]]))[1][0]
+    assert len({one(k) for k in (NUMBER, NAME, UNIT)}) == 3
+    bare = Vocabulary(known | dict.fromkeys(["tordale", "zelbury", "1718", "1719", "crowns"], COMMON), 3)
+    assert {k for k, *_ in item_windows(words, bare)} != {k for k, *_ in windows}
+    # Fewer than two template words: the name itself is in the key.
+    good, _, _, filled = v.windows(np.array([[0, 3, NUMBER], [0, NAME, NUMBER]]))
+    assert good.tolist() == [True, False] and filled.tolist() == [True, False]
 
 
 def test_nothing_to_search(spark, corpus):
@@ -301,8 +347,9 @@ def test_distance_is_that_of_levenshtein():
         assert distance(code(a), code(b)) == distance(code(b), code(a)) == n
 
 
-def test_damaged_words_find_their_template_word():
-    items = Items.of([1, 2], ["the harbour and the kettle in May", "the lantern and the meadow of Tordale"], Rules())
-    v = items.vocabulary
+def test_words_by_kind_and_damaged_ones(spark):
+    texts = ["the harbour and the kettle in May", "the lantern and the meadow of Tordale for 5 taler", "then 7 taler and the rest", "all the 9 taler and more"]
+    v = vocabulary_of(spark.createDataFrame([(t, None) for t in texts], "text string, lang string"), Rules())
     assert v["harbour"] == v["harb0ur"] == v["harbonr"] == v["harbor"] == v["harrbour"] >= 0
-    assert v["1950"] == -1 and v["taler"] == -3 and v["zelbury"] == -2
+    assert v["harbour"] < v.templates <= v["tordale"]
+    assert (v["1950"], v["taler"], v["zelbury"], v["the"], v["xq"]) == (NUMBER, UNIT, NAME, COMMON, COMMON)
