@@ -70,6 +70,10 @@ class Unsupported(QueryError):
     pass
 
 
+class ManyToMany(QueryError):
+    """Several series of a side that must have one meet the same series of the other."""
+
+
 @dataclass(frozen=True)
 class TableMeta:
     """Grid of a table: slots of ``interval_ms``, ``series_len`` of them a chunk, so many chunks live."""
@@ -147,14 +151,31 @@ class Aggregate:
     param: float | str | None = None
 
 
+@dataclass(frozen=True)
+class Apply:
+    """A function of the values, or of the labels, of each sample of a vector."""
+
+    function: str
+    arg: Expr
+    params: tuple[float | str, ...] = ()
+
+
 @dataclass(frozen=True)
 class Number:
     value: float
 
 
+@dataclass(frozen=True)
+class Now:
+    """The time of evaluation in seconds."""
+
+
 @dataclass(frozen=True)
 class Binary:
-    """``left op right``; ``on`` / ``ignoring`` choose the labels that two vectors are matched by."""
+    """``left op right``; ``on`` / ``ignoring`` choose the labels that two vectors are matched by.
+
+    ``many`` is the side of which several series may meet one of the other; ``include`` names labels taken over from that one.
+    """
 
     op: str
     left: Expr
@@ -162,7 +183,9 @@ class Binary:
     match: Literal["on", "ignoring", "all"] = "all"
     labels: tuple[str, ...] = ()
     bool_result: bool = False
+    many: Literal["left", "right"] | None = None
+    include: tuple[str, ...] = ()
 
 
-Expr = Selector | Call | Aggregate | Number | Binary
+Expr = Selector | Call | Aggregate | Apply | Number | Now | Binary
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.model import NoSuchField, Unsupported
 
+#: Milliseconds of a stretch of a series that one task puts in order; a series of any length is many of them.
+STRETCH_MS = 86_400_000
+
 _SIMPLE = {
     "sum": F.sum,
     "avg": F.avg,
@@ -81,14 +84,7 @@ def over_time(df: DataFrame, function: str, labels: Sequence[str], range_ms: int
         gained = F.when(F.col("_b") < F.col("_a"), F.col("_b")).otherwise(F.col("_b") - F.col("_a"))
         return ends.select(*labels, (gained / ((F.col("_tb") - F.col("_ta")) / 1000) if function == "irate" else F.col("_b") - F.col("_a")).alias(value))
     if function in ("increase", "rate", "changes", "resets"):
-        before = F.lag(value).over(Window.partitionBy(*labels).orderBy("ts_ms"))
-        steps = seen.withColumn("_before", before)
-        v, p = F.col(value), F.col("_before")
-        gain: Column = {
-            "changes": F.when(p.isNotNull() & (v != p), 1.0).otherwise(0.0),
-            "resets": F.when(v < p, 1.0).otherwise(0.0),
-        }.get(function, F.when(p.isNull(), 0.0).when(v < p, v).otherwise(v - p))
-        total = steps.groupBy(*labels).agg(F.sum(gain).alias(value), (F.max("ts_ms") - F.min("ts_ms")).alias("_span"))
+        total = _gains(seen, function, labels, value)
         if function == "rate":
             seconds = F.lit(range_ms / 1000) if range_ms else F.nullif(F.col("_span") / 1000, F.lit(0.0))
             return total.select(*labels, (F.col(value) / seconds).alias(value))
@@ -96,6 +92,43 @@ def over_time(df: DataFrame, function: str, labels: Sequence[str], range_ms: int
     raise Unsupported(f"the function {function}")
 
 
+def _gain(function: str, before: Column, after: Column) -> Column:
+    """What a step from one value to the next adds; 0 where there is none before."""
+    if function == "changes":
+        return F.when(before.isNotNull() & (after != before), 1.0).otherwise(0.0)
+    if function == "resets":
+        return F.when(after < before, 1.0).otherwise(0.0)
+    if function == "delta":
+        return F.when(before.isNull(), 0.0).otherwise(after - before)
+    return F.when(before.isNull(), 0.0).when(after < before, after).otherwise(after - before)
+
+
+def _gains(seen: DataFrame, function: str, labels: Sequence[str], value: str) -> DataFrame:
+    """Labels, the sum of a series' gains as ``value``, and its ``_span``.
+
+    Steps are taken within stretches of time, each by one task, and each stretch leaves a row: its gain, ends and first and
+    last value.  The steps between stretches are taken over these.
+    """
+    stretch = F.floor(F.col("ts_ms") / STRETCH_MS).alias("_stretch")
+    rows = seen.select(*labels, "ts_ms", F.col(value).alias("_v"), stretch)
+    before = F.lag("_v").over(Window.partitionBy(*labels, "_stretch").orderBy("ts_ms"))
+    parts = (
+        rows.withColumn("_before", before)
+        .groupBy(*labels, "_stretch")
+        .agg(
+            F.sum(_gain(function, F.col("_before"), F.col("_v"))).alias("_inside"),
+            F.min_by("_v", "ts_ms").alias("_first"),
+            F.max_by("_v", "ts_ms").alias("_last"),
+            F.min("ts_ms").alias("_from"),
+            F.max("ts_ms").alias("_to"),
+        )
+    )
+    between = _gain(function, F.lag("_last").over(Window.partitionBy(*labels).orderBy("_stretch")), F.col("_first"))
+    return parts.withColumn("_between", between).groupBy(*labels).agg(
+        (F.sum("_inside") + F.sum("_between")).alias(value), (F.max("_to") - F.min("_from")).alias("_span")
+    )
+
+
 def _last_two(df: DataFrame, labels: Sequence[str], value: str) -> DataFrame:
     w = Window.partitionBy(*labels).orderBy(F.desc("ts_ms"))
     two = df.withColumn("_n", F.row_number().over(w)).where("_n <= 2")
@@ -105,9 +138,30 @@ def _last_two(df: DataFrame, labels: Sequence[str], value: str) -> DataFrame:
 
 
 def over_time_grid(df: DataFrame, function: str, labels: Sequence[str], range_ms: int, value: str = "value") -> DataFrame:
-    """``*_over_time`` at every sample: over the ``range_ms`` that end with it, its own slot included."""
+    """A range function at every sample: over the ``range_ms`` that end with it, its own slot included.
+
+    ``*_over_time``, and ``increase``, ``rate``, ``delta``, ``changes`` and ``resets`` by the steps between the samples of the range.
+
+    A series is cut into stretches of time, ``range_ms`` at least.  A sample also goes to the stretch after its own as
+    context, so each stretch is worked on by itself, however long the series.
+    """
     name = function.removesuffix("_over_time")
-    if name not in _SIMPLE:
+    steps = function in ("increase", "rate", "delta", "changes", "resets")
+    if not steps and name not in _SIMPLE and name != "last":
         raise Unsupported(f"{function} on the grid")
-    w = Window.partitionBy(*labels).orderBy("ts_ms").rangeBetween(-range_ms + 1, 0)
-    return df.where(F.col(value).isNotNull()).select(*labels, "ts_ms", _SIMPLE[name](value).over(w).alias(value))
+    width = max(STRETCH_MS, range_ms)
+    own = F.floor(F.col("ts_ms") / width)
+    # Only samples near the end of a stretch can be in the range of one in the next.
+    near = F.floor((F.col("ts_ms") + range_ms) / width)
+    rows = df.where(F.col(value).isNotNull()).select(*labels, "ts_ms", F.col(value).alias("_v"), own.alias("_own"), F.explode(F.array_distinct(F.array(own, near))).alias("_stretch"))
+    series = Window.partitionBy(*labels, "_stretch").orderBy("ts_ms")
+    w = series.rangeBetween(-range_ms + 1, 0)
+    if steps:
+        rows = rows.withColumn("_gain", _gain(function, F.lag("_v").over(series), F.col("_v")))
+        # The step to the first sample of the range began before it.
+        out = F.sum("_gain").over(w) - F.first("_gain").over(w)
+        if function == "rate":
+            out = out / (range_ms / 1000)
+    else:
+        out = F.col("_v") if name == "last" else _SIMPLE[name]("_v").over(w)
+    return rows.select(*labels, "ts_ms", "_own", "_stretch", out.alias(value)).where("_own = _stretch").drop("_own", "_stretch")

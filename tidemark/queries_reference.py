@@ -230,6 +230,12 @@ def moving_average(spark: SparkSession, folder: str) -> DataFrame:
     return agg.over_time_grid(rows, "avg_over_time", ["event_type", "user_id"], 86_400_000).withColumn("value", F.round("value", 6))
 
 
+def grid_increase(spark: SparkSession, folder: str) -> DataFrame:
+    """What each series gained in the day before each of its samples."""
+    rows = engine(spark, folder, "events").scan("events")
+    return agg.over_time_grid(rows, "increase", ["event_type", "user_id"], 86_400_000).withColumn("value", F.round("value", 6))
+
+
 _S, _E = START // 900_000 * 900_000, END // 900_000 * 900_000
 _RANGE = f"ts_ms >= {NOW - 5 * 86_400_000}"
 _STEPS = _event_rows(where=_RANGE) + ", steps as (select *, lag(value) over (partition by event_type, user_id order by ts_ms) p from kept) "
@@ -295,8 +301,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quantile_over_time": _promql("quantile_over_time(0.5, events[5d])"),
     "nested_sum_rate": _promql("sum by (event_type) (rate(events[5d]))", 9),
     "moving_average": moving_average,
+    "sum_over_time": _promql("sum_over_time(events[5d])"),
+    "min_over_time": _promql("min_over_time(events[5d])"),
+    "stddev_over_time": _promql("stddev_over_time(events[5d])"),
+    "stdvar_over_time": _promql("stdvar_over_time(events[5d])"),
+    "present_over_time": _promql("present_over_time(events[5d])"),
+    "range_irate": _promql("irate(events[5d])", 9),
+    "grid_increase": grid_increase,
     "binary_arithmetic": _promql("sum by (event_type) (events) / on (event_type) count by (event_type) (events) * 2"),
     "binary_compare": _promql("events > 450"),
+    "binary_ignoring": _promql("sum by (event_type) (events) - ignoring (user_id) count by (event_type) (events) % 2"),
+    "binary_power": _promql("(sum(events) + 1) ^ 0.5"),
+    "binary_group_left": _promql("events / on (event_type) group_left sum by (event_type) (events)", 9),
+    "binary_group_right": _promql("sum by (user_id) (events) - on (user_id) group_right events"),
+    "functions_of_values": _promql("clamp(abs(ceil(events / -7)), 2, 50) + floor(sqrt(events)) - clamp_max(round(events, 5), 100)"),
+    "label_functions": _promql('sum by (u) (label_replace(events, "u", "$1-$2", "user_id", "(.)(.*)"))'),
     "binary_bool": _promql("sum(events) >= bool 400"),
     "set_and": _promql('sum by (user_id) (events{event_type="click"}) and sum by (user_id) (events{event_type="view"})'),
     "set_unless": _promql('sum by (user_id) (events{event_type="click"}) unless sum by (user_id) (events{event_type="view"})'),
@@ -375,6 +394,27 @@ SQL = {
     "quantile_over_time": _aggregated("quantile_cont(value, 0.5)", "event_type, user_id", _RANGE, ""),
     "nested_sum_rate": _STEPS + f"select event_type, round(sum(r), 9) as value from (select event_type, user_id, {_GAIN} / 432000 r from steps group by all) group by event_type",
     "moving_average": _event_rows() + "select event_type, user_id, ts_ms, round(avg(value) over (partition by event_type, user_id order by ts_ms range between 86399999 preceding and current row), 6) as value from kept",
+    "sum_over_time": _aggregated("sum(value)", "event_type, user_id", _RANGE, ""),
+    "min_over_time": _aggregated("min(value)", "event_type, user_id", _RANGE, ""),
+    "stddev_over_time": _aggregated("stddev_pop(value)", "event_type, user_id", _RANGE, ""),
+    "stdvar_over_time": _aggregated("var_pop(value)", "event_type, user_id", _RANGE, ""),
+    "present_over_time": _aggregated("1", "event_type, user_id", _RANGE, ""),
+    "range_irate": _event_rows(where=_RANGE)
+    + """, steps as (select *, lag(value) over w p, lag(ts_ms) over w pt from kept window w as (partition by event_type, user_id order by ts_ms))
+select event_type, user_id, round((case when value < p then value else value - p end) / ((ts_ms - pt) / 1000.0), 9) as value from steps where p is not null
+qualify row_number() over (partition by event_type, user_id order by ts_ms desc) = 1""",
+    "grid_increase": _event_rows()
+    + """, steps as (select *, coalesce(case when value < p then value else value - p end, 0) gain from (select *, lag(value) over (partition by event_type, user_id order by ts_ms) p from kept))
+select event_type, user_id, ts_ms, round(sum(gain) over w - first_value(gain) over w, 6) as value from steps
+window w as (partition by event_type, user_id order by ts_ms range between 86399999 preceding and current row)""",
+    "binary_ignoring": _event_rows() + "select event_type, ts_ms, round(sum(value) - count(value) % 2, 6) as value from kept group by all",
+    "binary_power": _event_rows() + "select ts_ms, round(pow(sum(value) + 1, 0.5), 6) as value from kept group by all",
+    "binary_group_left": _event_rows() + "select event_type, user_id, ts_ms, round(value / sum(value) over (partition by event_type, ts_ms), 9) as value from kept",
+    "binary_group_right": _event_rows() + "select event_type, user_id, ts_ms, round(sum(value) over (partition by user_id, ts_ms) - value, 6) as value from kept",
+    "functions_of_values": _event_rows()
+    + "select event_type, user_id, ts_ms, round(greatest(2, least(50, abs(ceil(value / -7)))) + floor(sqrt(value)) - least(floor(value / 5 + 0.5) * 5, 100), 6) as value from kept",
+    "label_functions": _event_rows()
+    + "select case when length(user_id) > 0 then user_id[1] || '-' || user_id[2:] end u, ts_ms, round(sum(value), 6) as value from kept group by all",
     "binary_arithmetic": _event_rows() + "select event_type, ts_ms, round(sum(value) / (count(value) * 1.0) * 2, 6) as value from kept group by all",
     "binary_compare": _event_rows() + "select event_type, user_id, ts_ms, round(value, 6) as value from kept where value > 450",
     "binary_bool": _event_rows() + "select ts_ms, case when sum(value) >= 400 then 1.0::double else 0.0::double end as value from kept group by all",
