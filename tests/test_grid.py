@@ -150,10 +150,10 @@ def test_errors_leave_the_engine_usable(spark):
         (NoSuchField, lambda: e.query("sum by (no) (m)")),
         (NoSuchField, lambda: e.query("sum by (value) (m)")),
         (NoName, lambda: e.query('{a="x"}')),
-        (Unsupported, lambda: e.query("time()")),
+        (Unsupported, lambda: e.query("sum(time())")),
         (Unsupported, lambda: e.query("m", language="sql")),
-        (DuplicateLabel, lambda: e.register("d", e.tables["m"].rows, ["a", "a"], ["value"], "t")),
-        (SchemaMismatch, lambda: e.register("d", e.tables["m"].rows, ["z"], ["value"], "t")),
+        (DuplicateLabel, lambda: e.register("d", e.table("m").rows, ["a", "a"], ["value"], "t")),
+        (SchemaMismatch, lambda: e.register("d", e.table("m").rows, ["z"], ["value"], "t")),
         (SchemaMismatch, lambda: e.write("w", {"a": "1"}, [(0, {"v": 1.0})]) or e.write("w", {"a": "1", "c": "2"}, [(0, {"v": 1.0})])),
         (WriteError, lambda: e.write("w", {"a": "1"}, [])),
     ]:
@@ -181,6 +181,24 @@ def test_write(spark):
     assert {(r["c"], r["u"]) for r in evolving.scan("w").collect()} == {(None, None), ("z", 2.0)}
 
 
+def test_many_writes_and_metrics_leave_plans_small(spark, tmp_path, monkeypatch):
+    e = Engine(spark)
+    for k in range(300):
+        e.write("w", {"a": str(k % 3)}, [(1000 * k, {"v": k})])
+    plan = e.table("w").rows._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Union") == 0 and e.table("w").rows.count() == 300
+    monkeypatch.setattr("tidemark.engine.HELD", 100)
+    for k in range(150):
+        e.write("x", {"a": "b"}, [(1000 * k, {"v": k})])
+    assert e.table("x").rows.count() == 150 and len(e._held["x"]) == 50
+    many = spark.range(400).selectExpr("id request_id", "array(struct(array(struct('__name__' name, concat('m', id % 200) value)) labels, array(struct(1.0D value, id timestamp)) samples)) timeseries")
+    for _ in range(2):
+        e.ingest(many, path=str(tmp_path / "store"))
+    assert len(e.tables) == 202 and e.scan("m7").count() == 1
+    assert e.scan_ingested().groupBy("metric").count().count() == 200
+    assert "Union" not in e.scan_ingested()._jdf.queryExecution().optimizedPlan().toString()
+
+
 REQUESTS = "request_id long, timeseries array<struct<labels:array<struct<name:string,value:string>>,samples:array<struct<value:double,timestamp:bigint>>>>"
 
 
@@ -207,7 +225,15 @@ def test_ingest_of_requests(spark):
     more = spark.createDataFrame([request(7, ("m", {"a": "x", "c": "1"}, [(1.0, 0)]))], REQUESTS)
     with pytest.raises(SchemaMismatch):
         e.ingest(more)
-    assert e.scan("m").count() == 2
+    assert e.scan("m").count() == 2 and e.tables == ["k", "m"]
+    e.ingest(spark.createDataFrame([request(8, ("m", {"a": None}, [(6.0, 0)]), ("k", {}, [(7.0, 1000)]))], REQUESTS))
+    everything = {(r["metric"], tuple(r["labels"].items()), r["ts_ms"], r["value"]) for r in e.scan_ingested().collect()}
+    assert everything == {("m", (), 0, 6.0), ("m", (("a", "x"),), 0, 2.0), ("k", (), 0, 3.0), ("k", (), 1000, 7.0)}
+    e.with_retention("k")
+    with pytest.raises(Unsupported):
+        e.scan_ingested()
+    with pytest.raises(WriteError):
+        e.write("m", {"a": "x"}, [(0, {"value": 1.0})])
     assert Engine(spark).ingest(df.limit(0)) == {"written": 0, "rejected": 0}
 
 
@@ -250,7 +276,7 @@ def test_time_columns(spark):
 
 
 def test_filters_reach_the_scan(spark, tmp_path):
-    engine(spark, [(0, 1.0, "x", "y")]).tables["m"].rows.write.parquet(str(tmp_path / "p"))
+    engine(spark, [(0, 1.0, "x", "y")]).table("m").rows.write.parquet(str(tmp_path / "p"))
     e = Engine(spark)
     e.register("m", spark.read.parquet(str(tmp_path / "p")), ["a", "b"], ["value"], "t", "n")
     plan = e.scan("m", matchers=[Matcher("a", "=", "x")], start_ms=0, end_ms=5000)._jdf.queryExecution().executedPlan().toString()

@@ -86,13 +86,13 @@ def last_write(df: DataFrame, labels: Sequence[str], scalars: Sequence[str], seq
     return kept.select(*keys, ts, *scalars)
 
 
-def live_from(df: DataFrame, seq: str, meta: TableMeta) -> DataFrame:
-    """One row: the start of the oldest live chunk, given all rows in order of arrival.
+def live_from(df: DataFrame, seq: str, meta: TableMeta, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each ``by``: the start of the oldest live chunk, given all rows in order of arrival.
 
     The newest ``live_chunks`` chunks live, but nothing before the chunk of the first arrival.
     """
     index = tdiv(F.col("chunk_start"), meta.chunk_ms)
-    return df.agg((F.greatest(F.max(index) - (meta.live_chunks - 1), F.min_by(index, F.col(seq))) * meta.chunk_ms).alias("live_from"))
+    return df.groupBy(*by).agg((F.greatest(F.max(index) - (meta.live_chunks - 1), F.min_by(index, F.col(seq))) * meta.chunk_ms).alias("live_from"))
 
 
 def retained(df: DataFrame, seq: str, meta: TableMeta) -> DataFrame:

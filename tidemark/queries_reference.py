@@ -19,6 +19,8 @@ from tidemark.streaming.ingest import ingest_exactly, latest
 
 QUARTER = TableMeta(series_len=120, interval_ms=900_000)
 DAY = TableMeta(series_len=120, interval_ms=86_400_000)
+#: A metric of remote_writes.
+REMOTE_METRIC = "scan_bytes"
 #: 2024-01-10, 2024-01-20 and 2024-01-31 UTC, off the grid by some minutes.
 START, END, NOW = 1_704_845_100_000, 1_705_709_400_000, 1_706_659_200_000
 
@@ -160,15 +162,18 @@ def remote_write_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Every metric of the requests as a table of its own: slots and their values after last write wins."""
     e = Engine(spark, schema_mode="evolve")
     e.ingest(table(spark, folder, "remote_writes"), meta=TableMeta(60, 60_000), path=shared_folder(spark))
-    out = []
-    for name in sorted(e.tables):
-        v = F.col("value")
-        kept = F.when(v.isNotNull() & ~F.isnan(v), v.cast("decimal(26,6)"))
-        out.append(e.scan(name).groupBy(F.lit(name).alias("metric")).agg(F.count("*").alias("n_slots"), F.sum(kept).cast("decimal(38,6)").alias("total"), F.max("ts_ms").alias("last_ms")))
-    whole = out[0]
-    for d in out[1:]:
-        whole = whole.unionByName(d)
-    return whole
+    v = F.col("value")
+    kept = F.when(v.isNotNull() & ~F.isnan(v), v.cast("decimal(26,6)"))
+    return e.scan_ingested().groupBy("metric").agg(F.count("*").alias("n_slots"), F.sum(kept).cast("decimal(38,6)").alias("total"), F.max("ts_ms").alias("last_ms"))
+
+
+def remote_write_table(spark: SparkSession, folder: str) -> DataFrame:
+    """One of the tables that requests ingested in two goes make, by its labels."""
+    e, path = Engine(spark, schema_mode="evolve"), shared_folder(spark)
+    requests = table(spark, folder, "remote_writes")
+    for half in (0, 1):
+        e.ingest(requests.where(F.pmod("request_id", F.lit(2)) == half), meta=TableMeta(60, 60_000), path=path)
+    return e.scan(REMOTE_METRIC).groupBy("tenant", "zone").agg(F.count("*").alias("n_slots"), F.max("ts_ms").alias("last_ms"))
 
 
 def archive_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,15 +204,15 @@ def write_api(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_final_state(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders as a stream, live chunks kept batch by batch; the final state."""
-    orders = table(spark, folder, "orders")
-    stream = spark.readStream.schema(orders.schema).parquet(f"{folder}/orders.parquet*")
+    """Orders as a stream of ten batches, in an order that isn't that of their dates; the final live rows."""
     path = shared_folder(spark)
+    table(spark, folder, "orders").repartitionByRange(10, F.xxhash64("o_orderkey")).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(table(spark, folder, "orders").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     q = ingest_exactly(stream, f"{path}/live", f"{path}/checkpoint", ["o_orderstatus", "o_orderpriority"], ["o_totalprice"], "o_orderdate", "o_orderkey", DAY)
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return latest(spark, f"{path}/live", q.lastProgress["batchId"] if q.lastProgress else 0).drop("_seq")
+    return latest(spark, f"{path}/live").drop("_seq")
 
 
 _ORDERS = """
@@ -322,6 +327,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "set_or": _promql('sum by (user_id) (events{event_type="click"}) or sum by (user_id) (events{event_type="view"})'),
     "remote_write_nested": remote_write_nested,
     "remote_write_tables": remote_write_tables,
+    "remote_write_table": remote_write_table,
     "write_api": write_api,
     "archive_roundtrip": archive_roundtrip,
     "arrow_roundtrip": arrow_roundtrip,
@@ -432,6 +438,12 @@ flat as (select request_id, place, [l.value for l in t.labels if l.name = '__nam
 kept as (select *, s."timestamp" // 60000 * 60000 ts_ms from flat where coalesce(metric, '') <> ''
   qualify row_number() over (partition by metric, tenant, route, client, zone, trace, s."timestamp" // 60000 order by request_id desc, place desc, i desc) = 1)
 select metric, count(*) n_slots, cast(sum(try_cast(s.value as decimal(26,6))) as decimal(38,6)) total, max(ts_ms) last_ms from kept group by metric""",
+    "remote_write_table": f"""
+with series as (select request_id, unnest(timeseries) t, generate_subscripts(timeseries, 1) place from remote_writes),
+flat as (select [l.value for l in t.labels if l.name = '__name__'][1] metric, [l.value for l in t.labels if l.name = 'tenant'][1] tenant, [l.value for l in t.labels if l.name = 'route'][1] route,
+  [l.value for l in t.labels if l.name = 'client'][1] client, [l.value for l in t.labels if l.name = 'zone'][1] zone, [l.value for l in t.labels if l.name = 'trace'][1] trace, unnest(t.samples)."timestamp" ts from series),
+slots as (select distinct tenant, route, client, zone, trace, ts // 60000 * 60000 ts_ms from flat where metric = '{REMOTE_METRIC}' and ts is not null)
+select tenant, zone, count(*) n_slots, max(ts_ms) last_ms from slots group by all""",
     "write_api": "select o_orderstatus status, epoch_ms(cast(o_orderdate as timestamp)) // 86400000 * 86400000 ts_ms, count(*) n from orders group by all",
     "archive_roundtrip": _long(where=_CLICK),
     "arrow_roundtrip": _aggregated("sum(value)", "event_type"),
