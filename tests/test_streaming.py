@@ -1,12 +1,14 @@
 """Streams in several batches against the batch rules."""
 
 import random
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.engine import Engine
-from tidemark.model import TableMeta
-from tidemark.streaming.ingest import ingest_exactly, latest, live_slots
+from tidemark.model import InternalError, TableMeta
+from tidemark.streaming.ingest import COMPACT, ingest_exactly, latest, live_slots
 
 META = TableMeta(10, 1000, 3)
 SCHEMA = "t long, value double, a string, n long"
@@ -38,6 +40,43 @@ def test_any_batches_give_the_batch_result(spark, tmp_path):
     assert state(latest(spark, live, 2)) == want
 
 
+def run(spark, source, folder, **options):
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    q = ingest_exactly(stream, f"{folder}/live", f"{folder}/c", ["a"], ["value"], "t", "n", META, **options)
+    q.awaitTermination()
+    return q
+
+
+def test_many_batches_in_any_order(spark, tmp_path):
+    """Twenty batches, not in order of arrival: the same rows, and old batches are deleted."""
+    rng = random.Random(2)
+    rows = [(None if k % 17 == 0 else rng.randrange(20_000, 90_000), float(k), rng.choice(["x", "y", None]), k) for k in range(200)]
+    e = Engine(spark)
+    e.register("m", spark.createDataFrame(rows, SCHEMA), ["a"], ["value"], "t", "n", META, retention=True)
+    rng.shuffle(rows)
+    source = str(tmp_path / "in")
+    write_batches(spark, source, rows, 10)
+    assert run(spark, source, tmp_path).exception() is None
+    assert state(latest(spark, str(tmp_path / "live"))) == state(e.scan("m"))
+    left = sorted(int(p.name.removeprefix("batch=")) for p in (tmp_path / "live").glob("batch=*"))
+    assert left == list(range(COMPACT, 20))
+
+
+def test_a_missing_batch_is_an_error(spark, tmp_path):
+    source = str(tmp_path / "in")
+    write_batches(spark, source, [(30_000 + k, 1.0, "x", k) for k in range(3)], 1)
+    run(spark, source, tmp_path)
+    shutil.rmtree(tmp_path / "live" / "batch=1")
+    with pytest.raises(InternalError):
+        latest(spark, str(tmp_path / "live"))
+    shutil.rmtree(tmp_path / "live" / "batch=2")
+    write_batches(spark, source, [(30_009, 1.0, "x", 9)], 1)
+    stream = spark.readStream.schema(SCHEMA).parquet(source)
+    q = ingest_exactly(stream, str(tmp_path / "live"), str(tmp_path / "c"), ["a"], ["value"], "t", "n", META)
+    with pytest.raises(Exception, match="batch 2 is missing"):
+        q.awaitTermination()
+
+
 def test_stateful_aggregation(spark, tmp_path):
     source = str(tmp_path / "in")
     write_batches(spark, source, [(1000 * k % 25_000, float(k), "x", k) for k in range(60)], 60)

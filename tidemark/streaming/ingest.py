@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.numeric import tdiv
-from tidemark.model import TableMeta
+from tidemark.model import InternalError, TableMeta
 from tidemark.operators import grid
 
 
@@ -27,54 +27,111 @@ def live_slots(stream: DataFrame, labels: Sequence[str], scalars: Sequence[str],
     return kept.select(*labels, *grid.GRID, *[F.col("_last")[s].alias(s) for s in scalars])
 
 
+#: Batches after which the live rows are written whole again.
+COMPACT = 8
+
+
 def ingest_exactly(
     stream: DataFrame, path: str, checkpoint: str, labels: Sequence[str], scalars: Sequence[str], ts: str, seq: str, meta: TableMeta, archive: str | None = None
 ) -> StreamingQuery:
     """Keeps the live rows under ``path`` exactly as the batch rules say, whatever the batches.
 
-    Each micro-batch writes a new version of the live rows: the last version and the batch, one row per
-    series and slot, less the chunks that are no longer live.  Chunks that drop out go to ``archive`` if it is
-    given.  A batch that is repeated after a failure writes the same version again.  ``path``,
-    ``checkpoint`` and ``archive`` must be on storage that all executors share.
+    Each micro-batch adds its own live rows, one per series and slot, and a note of the bounds so far; every ``COMPACT``
+    batches the live rows are written whole, and what no repeated batch can need any more is deleted.  So a
+    batch costs what it holds, and what is stored stays a few times the live rows.  Chunks that drop out go to ``archive`` if it
+    is given.  A batch that is repeated after a failure writes the same again; if what an earlier batch wrote is
+    gone, that is an :class:`InternalError`.  ``path``, ``checkpoint`` and ``archive`` must be on storage that all executors share.
     """
     index = tdiv(F.col("chunk_start"), meta.chunk_ms)
-
-    def version(batch: int) -> str:
-        return f"{path}/version={batch}"
+    keys = [*labels, *grid.GRID]
 
     def step(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
         placed = grid.placed(df.select(*labels, *scalars, F.col(seq).alias("_seq"), grid.epoch_ms(df, ts).alias("_t")), F.col("_t"), meta).drop("_t")
-        rows = placed.select(*labels, *grid.GRID, "_seq", *scalars)
-        bound = rows.agg(F.max(index).alias("newest"), F.min_by(index, "_seq").alias("first"))
-        if batch > 0 and _exists(spark, version(batch - 1)):
-            old = spark.read.parquet(version(batch - 1))
-            # The chunk of the very first arrival stays the lower bound; it is kept with the rows.
-            was = old.agg(F.max(index).alias("newest"), F.min("_first").alias("first"))
-            both = was.unionByName(bound)
-            bound = both.agg(F.max("newest").alias("newest"), F.first("first", ignorenulls=True).alias("first"))
-            first = was.select("first").first()[0]
-            bound = bound.withColumn("first", F.coalesce(F.lit(first), F.col("first")))
-            rows = old.drop("_first").unionByName(rows)
-        found = bound.first()
-        if found["newest"] is None:
-            rows.withColumn("_first", F.lit(None).cast("bigint")).write.mode("overwrite").parquet(version(batch))
-            return
-        live = max(found["newest"] - (meta.live_chunks - 1), found["first"])
-        whole = F.struct(*[F.col(s) for s in scalars])
-        kept = rows.groupBy(*labels, *grid.GRID).agg(F.max_by(F.struct("_seq", *scalars), F.struct("_seq", whole)).alias("_l")).select(*labels, *grid.GRID, "_l.*")
+        rows = _last(placed.select(*keys, "_seq", *scalars), keys, scalars)
+        number = F.col("_seq").cast("decimal(38,0)")
+        own = placed.agg(F.max(index).alias("newest"), F.min_by(index, F.when(index.isNotNull(), number)).alias("first"), F.min(F.when(F.col("chunk_start").isNotNull(), number)).alias("first_seq")).first()
+        before = note(spark, path, batch - 1) if batch else None
+        seen = [x for x in (before, own) if x is not None and x["newest"] is not None]
+        newest = max((x["newest"] for x in seen), default=None)
+        # The chunk of the first arrival bounds what lives, too; a later batch may have an earlier arrival, so
+        # rows before it are kept while they are new enough.
+        earliest = min(seen, key=lambda x: x["first_seq"], default=None)
+        first, first_seq = (earliest["first"], earliest["first_seq"]) if earliest is not None else (None, None)
+        live = None if newest is None else newest - (meta.live_chunks - 1)
+        was = before["live"] if before is not None and before["live"] is not None else first
+        state = rows if before is None else _last(_stored(spark, path, before).unionByName(rows), keys, scalars)
         if archive:
-            kept.where((index < live) & (index >= found["first"])).write.mode("overwrite").parquet(f"{archive}/version={batch}")
-        kept.where(index >= live).withColumn("_first", F.lit(found["first"]).cast("bigint")).write.mode("overwrite").parquet(version(batch))
+            gone = F.lit(False) if live is None else (index >= max(was, first)) & (index < live)
+            state.where(gone).write.mode("overwrite").parquet(f"{archive}/batch={batch}")
+        whole = batch % COMPACT == 0
+        kept = state if whole else rows
+        (kept if live is None else kept.where(index >= live)).sortWithinPartitions("chunk_start").write.mode("overwrite").parquet(f"{path}/batch={batch}/rows")
+        base = batch if whole else before["base"]
+        spark.createDataFrame([(newest, first, first_seq, live, None if live is None else max(live, first) * meta.chunk_ms, base, batch)], NOTE).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch}/note")
+        if whole and before is not None:
+            _delete_before(spark, path, before["base"])
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, path: str, batch: int) -> DataFrame:
-    """The live rows after a batch."""
-    return spark.read.parquet(f"{path}/version={batch}").drop("_first")
+#: The newest chunk and that of the first arrival so far, the first new enough to live, the start of live rows, and the batch that has the live rows whole.
+NOTE = "newest long, first long, first_seq decimal(38,0), live long, live_ms long, base long, batch long"
+
+
+def note(spark: SparkSession, path: str, batch: int) -> Row:
+    """What a batch left besides its rows."""
+    at = f"{path}/batch={batch}/note"
+    fs, p = _file_system(spark, at)
+    found = spark.read.schema(NOTE).parquet(at).first() if fs.exists(p) else None
+    if found is None:
+        raise InternalError(f"batch {batch} is missing under {path}")
+    return found
+
+
+def _last(df: DataFrame, keys: Sequence[str], scalars: Sequence[str]) -> DataFrame:
+    """One row per series and slot, the last by ``_seq``."""
+    whole = F.struct("_seq", *scalars)
+    return df.groupBy(*keys).agg(F.max_by(whole, F.struct("_seq", whole)).alias("_l")).select(*keys, "_l.*")
+
 
+def _stored(spark: SparkSession, path: str, at: Row) -> DataFrame:
+    """The rows that batches have left since the live rows were written whole."""
+    folders = [f"{path}/batch={b}/rows" for b in range(at["base"], at["batch"] + 1)]
+    for f in folders:
+        fs, p = _file_system(spark, f)
+        if not fs.exists(p):
+            raise InternalError(f"{f} is missing")
+    return spark.read.parquet(*folders)
 
-def _exists(spark: SparkSession, path: str) -> bool:
+
+def latest(spark: SparkSession, path: str, batch: int | None = None) -> DataFrame:
+    """The live rows after a batch, by default after the last."""
+    if batch is None:
+        done = _batches(spark, path)
+        if not done:
+            raise InternalError(f"no batch under {path}")
+        batch = max(done)
+    at = note(spark, path, batch)
+    rows = _stored(spark, path, at)
+    at_seq = rows.columns.index("_seq")  # labels and grid columns stand before it, scalars after it
+    kept = _last(rows, rows.columns[:at_seq], rows.columns[at_seq + 1 :])
+    return kept if at["live_ms"] is None else kept.where(F.col("chunk_start") >= at["live_ms"])
+
+
+def _file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    fs, p = _file_system(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and fs.exists(_file_system(spark, f"{path}/{n}/note/_SUCCESS")[1])]
+
+
+def _delete_before(spark: SparkSession, path: str, batch: int) -> None:
+    for b in _batches(spark, path):
+        if b < batch:
+            fs, p = _file_system(spark, f"{path}/batch={b}")
+            fs.delete(p, True)
