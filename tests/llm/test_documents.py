@@ -27,7 +27,7 @@ def documents(spark, rows):
 def test_every_token_once_in_containers_of_their_size(spark):
     rng = random.Random(1)
     rows = [(k, rng.choice(["hot", "hot", "a", "b", None, ""]), "x" * rng.choice([0, 1, 50, 99, 100, 101, 250, rng.randrange(100)])) for k in range(600)]
-    rows += [(7, "a", "y" * 30), (7, "a", "y" * 30), (None, "a", "z" * 130), (900, "b", None)]
+    rows += [(7, "a", "y" * 30), (7, "a", "y" * 30), (None, "a", "z" * 130), (900, "b", None), (2**62 + 1, "b", "w" * 40)]
     got = pack_documents(documents(spark, rows), capacity=100, shards=5).collect()
     load, slots, parts = defaultdict(int), defaultdict(list), defaultdict(list)
     for r in got:
@@ -168,6 +168,8 @@ def test_words_and_boundaries_of_odd_texts():
 def test_split_documents(spark):
     long = "Some words of a long text, that go on.\n" * 400
     df = documents(spark, [(1, "a", long), (2, "a", "short"), (3, "a", "x" * 6000), (4, "a", "x" * 6001), (None, "b", "ü" * 3001), (5, "a", None), (6, "a", ""), (1, "a", long)])
+    big = 2**62 + 1  # beside a NULL id
+    assert {r["doc"] for r in split_documents(documents(spark, [(big, "a", long), (None, "b", long)])).collect()} == {big, None}
     got = split_documents(df).toPandas()
     assert got.groupby("doc", dropna=False).size().to_dict().keys() >= {1, 4}
     assert sorted(set(got.doc.dropna())) == [1, 4] and got.doc.isna().any()
@@ -181,13 +183,15 @@ def test_split_documents(spark):
 
 @pytest.mark.skipif(not os.path.exists(RANKS), reason="needs the vocabulary")
 def test_tokens_of_a_vocabulary(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
     text = "The harbour was rebuilt; naïve Grüße 😀 are here.\n" * 60
-    ends = rank_file_tokens(RANKS)(text)
+    pattern = public_tokenizers.PATTERN
+    ends = rank_file_tokens(RANKS, pattern)(text)
     pieces = split_text(text, 200, 20, lambda _: ends)
     assert pieces[-1][3] == len(ends) and ends[-1] == len(text.encode())
     for (_, _, _, e), (_, _, s2, _) in zip(pieces, pieces[1:], strict=False):
         assert 20 <= e - s2 <= 24
-    got = split_documents(spark.createDataFrame([(1, text), (2, "few")], "doc_id long, text string"), limit=200, overlap=20, rank_file=RANKS)
+    got = split_documents(spark.createDataFrame([(1, text), (2, "few")], "doc_id long, text string"), limit=200, overlap=20, rank_file=RANKS, pattern=pattern)
     assert got.count() == len(pieces)
 
 

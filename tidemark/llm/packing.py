@@ -13,7 +13,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,23 +117,23 @@ def pack_documents(
         docs[id_col].alias("doc"), docs[source_col].cast("string").alias("source"), F.octet_length(docs[text_col].cast("string")).cast("bigint").alias("tokens")
     ).where("tokens > 0")
     sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc", "tokens"), F.lit(n_shards)).cast("int"))
-
     kind = sized.schema["doc"].dataType.simpleString()
     names = ["container", "position", "window", "doc", "source", "piece", "start_token", "n_tokens"]
+    types = [pa.int64(), pa.int32(), pa.int32(), None, pa.string(), pa.int32(), pa.int64(), pa.int64()]
 
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        name = lambda s: None if pd.isna(s) else s
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
         items = []
-        for doc, source, tokens in zip(rows["doc"], rows["source"], rows["tokens"], strict=True):
-            for piece, start in enumerate(range(0, int(tokens), capacity)):
-                items.append((name(doc), name(source), piece, start, min(capacity, int(tokens) - start)))
-        out = pd.DataFrame(pack_shard(items, capacity, window), columns=names)
-        out["container"] += int(key[0]) << 32
-        return out
+        for doc, source, tokens in zip(*[rows.column(c).to_pylist() for c in ("doc", "source", "tokens")], strict=True):
+            for piece, start in enumerate(range(0, tokens, capacity)):
+                items.append((doc, source, piece, start, min(capacity, tokens - start)))
+        packed = list(zip(*pack_shard(items, capacity, window), strict=True))
+        columns = [pa.array(c, t or rows.schema.field("doc").type) for c, t in zip(packed, types, strict=True)]
+        columns[0] = pc.add(columns[0], key[0].as_py() << 32)
+        return pa.table(columns, names)
 
     # By number, as adaptive execution would merge these small partitions into one.
     return (
         sized.repartition(n_shards, "shard")
         .groupBy("shard")
-        .applyInPandas(pack, f"container bigint, position int, window int, doc {kind}, source string, piece int, start_token bigint, n_tokens bigint")
+        .applyInArrow(pack, f"container bigint, position int, window int, doc {kind}, source string, piece int, start_token bigint, n_tokens bigint")
     )

@@ -175,6 +175,25 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_pieces(spark, folder).where("piece = 0 and n_pieces > 1").select("doc_id")
 
 
+def p9_holds(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of each document that is cut, and whether its pieces keep what is promised.
+
+    No piece is over 6,000 tokens, each begins 200 to 203 tokens before the end of the one before it, they run from the first
+    token to the last, and their texts have as many bytes as tokens.
+    """
+    p = p9_pieces(spark, folder)
+    by = Window.partitionBy("doc_id").orderBy("piece")
+    shared = F.lag("end_token").over(by) - F.col("start_token")
+    each = (
+        (F.col("end_token") - F.col("start_token") <= 6000)
+        & F.coalesce(shared.between(200, 203), F.col("start_token") == 0)
+        & (F.octet_length("text") == F.col("end_token") - F.col("start_token"))
+    )
+    rows = p.select("doc_id", "end_token", each.alias("each"), ((F.col("piece") == 0) == (F.col("start_token") == 0)).alias("begins"))
+    return rows.groupBy("doc_id").agg(F.max("end_token").alias("n_tokens"), F.every(F.col("each") & F.col("begins")).alias("holds"))
+
+
+P9_HOLDS_SQL = "select doc_id, cast(strlen(text) as bigint) n_tokens, true holds from documents where strlen(text) > 6000"
 P9_FOUND_SQL = "select doc_id from documents where strlen(text) > 6000"
 
 
@@ -188,6 +207,7 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_matches": p8_matches,
     "p9_found": p9_found,
+    "p9_holds": p9_holds,
     "p9_pieces": p9_pieces,
 }
 SQL = {
@@ -196,4 +216,5 @@ SQL = {
     "p7_mixture": P7_MIXTURE_SQL,
     "p7_tokens": P7_TOKENS_SQL,
     "p9_found": P9_FOUND_SQL,
+    "p9_holds": P9_HOLDS_SQL,
 }

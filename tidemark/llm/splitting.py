@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,24 +165,24 @@ def split_text(text: str, limit: int, overlap: int, token_ends: Callable[[str],
         first = max(nxt, first + 1)
 
 
-def rank_file_tokens(path: str) -> Callable[[str], np.ndarray]:
-    """Token ends by a public byte-level vocabulary in the form of ranks."""
-    import public_tokenizers
+def rank_file_tokens(path: str, pattern: str) -> Callable[[str], np.ndarray]:
+    """Token ends by a public byte-level vocabulary in the form of ranks, and the pattern that splits texts for it."""
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return lambda text: np.cumsum([len(x) for x in coder.decode_tokens_bytes(coder.encode_ordinary(text))], dtype=np.int64)
 
 
 def split_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 6000, overlap: int = 200, rank_file: str | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 6000, overlap: int = 200, rank_file: str | None = None, pattern: str | None = None
 ) -> DataFrame:
     """The pieces of every document of more than ``limit`` tokens.
 
     Columns: ``doc`` (the id), ``piece`` (from 0), ``n_pieces``, ``start_token``, ``end_token`` and ``text``.
-    A token is a byte of the UTF-8 text, or a token of the vocabulary in ``rank_file``.  Such a
+    A token is a byte of the UTF-8 text, or a token of the vocabulary in ``rank_file``, which
+    belongs to the ``pattern`` that comes with it.  Such a
     token has at least one byte, so shorter texts never leave the JVM.
 
     Documents that aren't over the limit, empty ones and NULL texts give no rows.  A NULL id is
@@ -191,15 +192,24 @@ def split_documents(
     rows = docs.select(docs[id_col].alias("doc"), docs[text_col].cast("string").alias("text")).where(F.octet_length("text") > limit)
     kind = rows.schema["doc"].dataType.simpleString()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ends = rank_file_tokens(rank_file) if rank_file else None
-        for t in batches:
-            out = []
-            for doc, text in zip(t["doc"], t["text"], strict=True):
+    if rank_file and not pattern:
+        raise ValueError("a vocabulary needs its pattern")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = rank_file_tokens(rank_file, pattern) if rank_file else None
+        for b in batches:
+            out, of = [], []
+            for at, text in enumerate(b.column("text").to_pylist()):
                 pieces = split_text(text, limit, overlap, ends)
                 if len(pieces) > 1:
                     data = text.encode("utf-8", "surrogatepass")
-                    out += [(doc, k, len(pieces), s, e, data[a:b].decode("utf-8", "replace")) for k, (a, b, s, e) in enumerate(pieces)]
-            yield pd.DataFrame(out, columns=["doc", "piece", "n_pieces", "start_token", "end_token", "text"]).astype({"doc": t["doc"].dtype} if out else {})
-
-    return rows.mapInPandas(cut, f"doc {kind}, piece int, n_pieces int, start_token bigint, end_token bigint, text string")
+                    of += [at] * len(pieces)
+                    out += [(k, len(pieces), s, e, data[a:b_].decode("utf-8", "replace")) for k, (a, b_, s, e) in enumerate(pieces)]
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc").take(pa.array(of, pa.int32())), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]],
+                ["doc", "piece", "n_pieces", "start_token", "end_token", "text"],
+            )
+
+    return rows.mapInArrow(cut, f"doc {kind}, piece int, n_pieces int, start_token bigint, end_token bigint, text string")
