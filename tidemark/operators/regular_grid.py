@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,16 +74,18 @@ def seasonal_fit(slots: DataFrame, harmonics: int) -> DataFrame:
         ((F.max("slot_ms") - F.min("slot_ms")) / F.lit(float(DAY_MS))).alias("span"),
     )
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            a, b = np.zeros((len(t), p, p)), np.zeros((len(t), p))
+            of = lambda c: np.nan_to_num(t.column(c).to_numpy(zero_copy_only=False).astype(float))  # noqa: B023, E731
+            a, b = np.zeros((t.num_rows, p, p)), np.zeros((t.num_rows, p))
             for i, j in pairs:
-                a[:, i, j] = a[:, j, i] = t[f"a{i}_{j}"].fillna(0.0)
+                a[:, i, j] = a[:, j, i] = of(f"a{i}_{j}")
             for i in range(p):
-                b[:, i] = t[f"b{i}"].fillna(0.0)
-            yield pd.DataFrame({"key": t["key"], "coef": list(solve_normal_equations(a, b, t["span"].to_numpy()))})
+                b[:, i] = of(f"b{i}")
+            coef = solve_normal_equations(a, b, of("span"))
+            yield pa.RecordBatch.from_arrays([t.column("key"), pa.array(list(coef), pa.list_(pa.float64()))], ["key", "coef"])
 
-    return sums.mapInPandas(solve, f"key {slots.schema['key'].dataType.simpleString()}, coef array<double>")
+    return sums.mapInArrow(solve, f"key {slots.schema['key'].dataType.simpleString()}, coef array<double>")
 
 
 def regular_grid(

@@ -126,6 +126,38 @@ from grid left join seen using (series_id, slot_ms)"""
 )
 
 
+def p4_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Every twentieth period is held out of the grid and predicted: for each metric how many that are, and whether the
+    median error is at most 1.5 times the median distance of the readings from their series' mean.
+
+    A bridge between two readings of a series that is nothing but noise misses by 1.22 times that distance; a millionth of
+    the values' size is allowed besides.  Of fewer than 50 readings the medians tell nothing.
+    """
+    samples, meta = table(spark, folder, "samples"), table(spark, folder, "metric_meta")
+    period = F.call_function("div", F.col("ts_ms"), F.col("interval_ms"))
+    rows = samples.join(meta.select("metric", "interval_ms", "lo", "hi"), "metric").withColumn("slot_ms", period * F.col("interval_ms")).withColumn("held", period % 20 == 7)
+    finite = ~F.isnan("value") & (F.abs("value") != float("inf"))
+    grid = regular_grid(rows.where("not held"), meta, "series_id", "metric", "ts_ms", "value", "seq").where("filled").select(F.col("key").alias("k"), F.col("slot_ms").alias("s"), F.col("value").alias("predicted"))
+    sound = (F.col("value") >= F.nanvl(F.coalesce("lo", F.lit(float("-inf"))), F.lit(float("-inf")))) & (F.col("value") <= F.nanvl(F.coalesce("hi", F.lit(float("inf"))), F.lit(float("inf"))))
+    known = rows.where(F.col("value").isNotNull() & finite)
+    held = known.where("held").groupBy("metric", "series_id", "slot_ms").agg(F.max_by(F.struct("value", "lo", "hi"), "seq").alias("v")).select("metric", "series_id", "slot_ms", "v.*").where(sound)
+    mean = known.where(~F.col("held") & sound).groupBy(F.col("series_id").alias("m")).agg(F.avg("value").alias("mean"))
+    both = held.join(grid, (F.col("series_id") == F.col("k")) & (F.col("slot_ms") == F.col("s"))).join(mean, F.col("series_id") == F.col("m"), "left")
+    middle = lambda c: F.percentile(F.abs(c), F.lit(0.5))
+    well = middle(F.col("value") - F.col("predicted")) <= 1.5 * middle(F.col("value") - F.col("mean")) + 1e-6 * middle(F.col("value"))
+    return both.groupBy("metric").agg(F.count("*").alias("n_held"), (well | (F.count("*") < 50)).alias("predicted_well"))
+
+
+P4_MASKED_SQL = """
+with usable as (select metric, series_id, ts_ms // interval_ms * interval_ms slot_ms, ts_ms // interval_ms % 20 = 7 held, value, seq, lo, hi
+  from samples join metric_meta using (metric) where isfinite(value)),
+spans as (select series_id, min(slot_ms) f, max(slot_ms) l from usable where not held group by series_id),
+last as (select metric, series_id, slot_ms, arg_max(value, seq) v, any_value(lo) lo, any_value(hi) hi from usable where held group by all)
+select metric, count(*) n_held, true predicted_well from last join spans using (series_id)
+where slot_ms > f and slot_ms < l and v >= coalesce(lo, '-inf'::double) and v <= coalesce(hi, 'inf'::double) group by metric
+"""
+
+
 # --- rolling totals
 
 
@@ -174,6 +206,7 @@ QUERIES = {
     "p3_totals": p3_totals,
     "p4_found": p4_found,
     "p4_grid": p4_grid,
+    "p4_masked": p4_masked,
     "p4_observed": p4_observed,
     "p6_found": p6_found,
     "p6_totals": p6_totals,
@@ -183,6 +216,7 @@ SQL = {
     "p3_found": P3_FOUND_SQL,
     "p3_totals": P3_TOTALS_SQL,
     "p4_found": P4_FOUND_SQL,
+    "p4_masked": P4_MASKED_SQL,
     "p4_observed": P4_OBSERVED_SQL,
     "p6_found": P6_FOUND_SQL,
     "p6_totals": P6_TOTALS_SQL,
