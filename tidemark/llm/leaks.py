@@ -9,7 +9,8 @@ one lost, added or changed letter; one that doesn't looks like a name, and items
 placeholder in place of each word, and without it, to be found by.
 
 Joined windows are compared slot by slot.  A document and an item whose slots agree in two windows near
-each other, or that share more windows with other numbers and names in the slots, are a candidate.
+each other, or that share more windows with other numbers and names in the slots, are a candidate.  Where columns mix, lines
+hold too few words in a row; there three windows of just two words, names being told by themselves, do as well.
 
 For candidates the letters of document and item, slots filled in again, are aligned by short runs of
 equal letters on neighbouring diagonals, and the longest stretch of the item's words that is printed is
@@ -124,11 +125,14 @@ class Vocabulary(dict):
         typed = np.where(ids >= self.templates, NAME, ids)
         template = (typed >= 0).sum(axis=1)
         filled = (template < 2) & ((ids >= 0).sum(axis=1) >= 2)
-        a, b, c = np.where(filled[:, None], ids, typed).T
+        key = self.key(*np.where(filled[:, None], ids, typed).T)
+        return (template >= 2) | filled, key, (typed == NAME) | (typed == NUMBER), filled
+
+    def key(self, a: np.ndarray, b: np.ndarray, c: np.ndarray | int = COMMON) -> np.ndarray:
+        """One number for three numbers or kinds, or for two: common words are in no window."""
         m = np.int64(self.base)
         with np.errstate(over="ignore"):
-            key = ((np.int64(4) + a) * m + b + 4) * m + c + 4
-        return (template >= 2) | filled, key, (typed == NAME) | (typed == NUMBER), filled
+            return ((np.int64(4) + a) * m + b + 4) * m + c + 4
 
 
 _CODE = np.full(256, 255, np.uint8)
@@ -187,7 +191,8 @@ class Rules:
     words: int = 20  #: consecutive words of an item that make a leak
     drift: int = 400  #: words by which windows may shift against each other and count together:
     agreeing: int = 2  #: how many whose slots agree make a candidate,
-    sharing: int = 4  #: or how many whatever their slots
+    sharing: int = 4  #: or how many whatever their slots,
+    pairs: int = 3  #: or how many of just two words, for lines too short for more
     slot: float = 0.34  #: share of a slot's letters that damage may change
     reach_of_window: int = 16  #: words of a document that a window may span
     joined: int = 12  #: letters that damage may take at a time within a stretch
@@ -327,7 +332,7 @@ class Item:
 
 
 OCCURRENCE = pa.schema([("word", pa.string()), ("lang", pa.string()), ("n", pa.int64()), ("capital", pa.bool_()), ("small", pa.bool_()), ("after", pa.int64())])
-ITEM_WINDOW = pa.schema([("i1", pa.int64()), ("i2", pa.int64()), ("item_key", pa.int64()), ("item_place", pa.int32()), ("item_slots", pa.string()), ("filled", pa.bool_())])
+ITEM_WINDOW = pa.schema([("i1", pa.int64()), ("i2", pa.int64()), ("item_key", pa.int64()), ("item_place", pa.int32()), ("item_slots", pa.string()), ("sort", pa.int32())])
 
 
 def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -389,8 +394,12 @@ def vocabulary_of(items: DataFrame, rules: Rules) -> Vocabulary:
     return Vocabulary(dict(zip(words["word"], number.tolist(), strict=True)), int(template.sum()))
 
 
-def item_windows(words: list[str], vocabulary: Vocabulary) -> list[tuple[int, int, str, bool]]:
-    """(key, place, slots, filled) of an item's windows, also as they look with a word damaged, lost or put in."""
+#: Sorts of windows: with placeholders, with the names themselves, and just two words.
+TYPED, FILLED, PAIR = 0, 1, 2
+
+
+def item_windows(words: list[str], vocabulary: Vocabulary) -> list[tuple[int, int, str, int]]:
+    """(key, place, slots, sort) of an item's windows, also as they look with a word damaged, lost or put in."""
     left = [(p, x) for p, w in enumerate(words) if (x := vocabulary[w]) != COMMON]
     other = (-1, NAME)
     windows: list[tuple[int, list[tuple[int, int]]]] = []
@@ -407,16 +416,19 @@ def item_windows(words: list[str], vocabulary: Vocabulary) -> list[tuple[int, in
     if not windows:
         return []
     good, key, slot, filled = vocabulary.windows(np.array([[x for _, x in w] for _, w in windows], np.int64))
-    out: dict[tuple[int, int], tuple[str, bool]] = {}
+    out: dict[tuple[int, int], tuple[str, int]] = {}
     for k in np.flatnonzero(good).tolist():
         place, window = windows[k]
         slots = "".join(one_form(words[p]) for (p, _), is_slot in zip(window, slot[k], strict=True) if is_slot and p >= 0)
-        out.setdefault((int(key[k]), place), (slots, bool(filled[k])))
+        out.setdefault((int(key[k]), place), (slots, FILLED if filled[k] else TYPED))
+    for (place, a), (_, b) in zip(left, left[1:], strict=False):
+        if a >= 0 and b >= 0:
+            out.setdefault((int(vocabulary.key(np.int64(a), np.int64(b))), place), ("", PAIR))
     return [(key, place, *rest) for (key, place), rest in out.items()]
 
 
 def document_windows(words: list[list[str]], vocabulary: Vocabulary, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Document, place and key of each window of three, then the words of all documents and the three places in these."""
+    """Document, place and key of each window, then the words of all documents and the places of a window's slots in these."""
     sizes = np.array([len(x) for x in words], np.int64)
     every = [w for x in words for w in x]
     number = np.fromiter((vocabulary[w] for w in every), np.int64, len(every))
@@ -425,8 +437,12 @@ def document_windows(words: list[list[str]], vocabulary: Vocabulary, reach: int)
     at = np.stack((left[:-2], left[1:-1], left[2:]), axis=1)
     at = at[(doc[at[:, 0]] == doc[at[:, 2]]) & (at[:, 2] - at[:, 0] <= reach)]
     good, key, slot, _ = vocabulary.windows(number[at])
-    at, d = at[good], doc[at[good, 0]]
-    return d, at[:, 0] - first[d], key[good], every, np.where(slot[good], at, -1)
+    two = np.stack((left[:-1], left[1:]), axis=1)
+    two = two[(doc[two[:, 0]] == doc[two[:, 1]]) & (two[:, 1] - two[:, 0] <= reach // 2) & (number[two] >= 0).all(axis=1)]
+    at, begin = at[good], np.concatenate((at[good, 0], two[:, 0]))
+    slots = np.concatenate((np.where(slot[good], at, -1), np.full((len(two), 3), -1)))
+    d = doc[begin]
+    return d, begin - first[d], np.concatenate((key[good], vocabulary.key(*number[two].T))), every, slots
 
 
 #: Bytes up to which the windows of the items are sent to all tasks; more are joined by shuffling both sides.
@@ -476,7 +492,7 @@ def leaks(
             yield batch([(i1, i2, *w) for i1, i2, text in each for w in item_windows(_WORD.findall(folded(text)), known.value)], ITEM_WINDOW)
 
     texts = tests.select("i1", "i2", "text").dropDuplicates(["i1", "i2"])
-    of_items = texts.mapInArrow(cut_items, "i1 bigint, i2 bigint, item_key bigint, item_place int, item_slots string, filled boolean")
+    of_items = texts.mapInArrow(cut_items, "i1 bigint, i2 bigint, item_key bigint, item_place int, item_slots string, sort int")
     size = 1 << FILTER_BITS
     present = np.zeros(size, bool)
     counted = of_items.groupBy(F.pmod("item_key", F.lit(size)).cast("int").alias("bit")).count().toPandas()
@@ -506,14 +522,18 @@ def leaks(
     hits = of_documents.join(F.broadcast(of_items) if few else of_items, F.col("key") == F.col("item_key"))
     pair = ["d1", "d2", "i1", "i2"]
     most = F.greatest(F.length("slots"), F.length("item_slots"))
-    agree = F.col("filled") | (F.levenshtein("slots", "item_slots") <= rules.slot * most)
+    pair_of_words = F.col("sort") == PAIR
+    agree = (F.col("sort") == FILLED) | (~pair_of_words & (F.levenshtein("slots", "item_slots") <= rules.slot * most))
     offset = F.col("place") - F.col("item_place")
     half = rules.drift // 2
     # Windows count together if they fall in one of two overlapping bins of offsets; places are bits, so copies don't count.
     bins = F.array(F.floor(offset / rules.drift) * 2, F.floor((offset + half) / rules.drift) * 2 + 1)
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("item_place", F.lit(61)))
-    near = hits.select(*pair, F.explode(bins).alias("bin"), F.when(agree, bit).otherwise(F.lit(0).cast("bigint")).alias("same"), bit.alias("any")).groupBy(*pair, "bin").agg(F.bit_or("same").alias("same"), F.bit_or("any").alias("any"))
-    candidates = near.where((F.bit_count("same") >= rules.agreeing) | (F.bit_count("any") >= rules.sharing)).select(*pair).distinct()
+    if_ = lambda c: F.when(c, bit).otherwise(F.lit(0).cast("bigint"))
+    marks = {"agreeing": if_(agree), "sharing": if_(~pair_of_words), "pairs": if_(pair_of_words)}
+    near = hits.select(*pair, F.explode(bins).alias("bin"), *[c.alias(m) for m, c in marks.items()]).groupBy(*pair, "bin").agg(*[F.bit_or(m).alias(m) for m in marks])
+    enough = (F.bit_count("agreeing") >= rules.agreeing) | (F.bit_count("sharing") >= rules.sharing) | (F.bit_count("pairs") >= rules.pairs)
+    candidates = near.where(enough).select(*pair).distinct()
 
     # --- letters of the candidates, aligned
 
