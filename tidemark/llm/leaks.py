@@ -200,12 +200,12 @@ class Rules:
     swapped: float = 0.34  #: or if they hold a whole word, which may be another one
     single: int = 20  #: letters of words that stand alone in what a break skips
     lost: int = 1  #: letters lost where a passage breaks off and goes on,
-    twice: int = 4  #: or by chance equal to what stands in between
+    twice: int = 8  #: or by chance equal to what stands in between
     beside: int = 30  #: letters of foreign text that a stretch may skip,
     least: int = 7  #: if it has so many letters;
     reach: int = 250  #: a break this wide
     near: int = 14  #: takes so many,
-    alone: int = 28  #: and a wider one, or another order, takes so many
+    alone: int = 20  #: and a wider one, or another order, takes so many
     common: float = 0.33  #: share of the items of a language from which on a word is no template word
     slots: int = 3  #: slots that differ in a re-parameterised item at least,
     other: float = 0.66  #: and their share of all slots
@@ -288,7 +288,7 @@ class Item:
 
         # The passage goes on in another stretch where the last one ended: past an advert, a line of
         # the next column, or in another column.  The farther away, the longer it must be.
-        begin, before = [c[0] for c in parts], [-1] * len(parts)
+        begin, before, length = [c[0] for c in parts], [-1] * len(parts), [c[4] for c in parts]
         ends: dict[int, list[int]] = {}
         own_text, page_text = mine.tobytes(), code.tobytes()
         for b, c in enumerate(parts):
@@ -304,8 +304,8 @@ class Item:
                         need = r.near
                         if not (p[3] < c[2] and away <= r.reach) or page_text.find(own_text[e : c[0]], p[3], c[2]) < 0:
                             continue
-                    if min(c[4], p[4]) >= need:
-                        begin[b], before[b] = begin[a], a
+                    if min(c[4], length[a]) >= need:  # what has gone on from stretch to stretch counts together
+                        begin[b], before[b], length[b] = begin[a], a, length[a] + c[4]
             ends.setdefault(c[1], []).append(b)
         word = self.word
         whole = np.bincount(word, minlength=len(self.slot))
