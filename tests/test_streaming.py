@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.engine import Engine
 from tidemark.model import InternalError, TableMeta
-from tidemark.streaming.ingest import COMPACT, ingest_exactly, latest, live_slots
+from tidemark.streaming.ingest import COMPACT, alerts, continuous_query, ingest_exactly, latest, live_slots
 
 META = TableMeta(10, 1000, 3)
 SCHEMA = "t long, value double, a string, n long"
@@ -62,6 +62,19 @@ def test_many_batches_in_any_order(spark, tmp_path):
     assert left == list(range(COMPACT, 20))
 
 
+def test_a_continuous_query_and_its_alerts(spark, tmp_path):
+    source, live, results = (str(tmp_path / x) for x in ("in", "live", "results"))
+    batches = [[(30_000, 5.0, "x", 0), (30_000, 1.0, "y", 1)], [(31_000, 7.0, "x", 2), (30_000, 9.0, "y", 3)], [(30_000, 2.0, "x", 4), (31_000, 2.0, "x", 5)]]
+    query = continuous_query(live, "m", "max_over_time(m[1h]) > 4", ["a"], ["value"], META, results)
+    seen = []
+    for rows in batches:
+        write_batches(spark, source, rows, 10)
+        run(spark, source, tmp_path, after=query)
+        seen.append({(r["a"], r["state"]) for r in alerts(spark, results, len(seen)).collect()})
+    assert seen == [{("x", "firing")}, {("y", "firing")}, {("x", "resolved")}]
+    assert [(r["a"], r["value"]) for r in spark.read.parquet(f"{results}/batch=2").collect()] == [("y", 9.0)]
+
+
 def test_a_missing_batch_is_an_error(spark, tmp_path):
     source = str(tmp_path / "in")
     write_batches(spark, source, [(30_000 + k, 1.0, "x", k) for k in range(3)], 1)

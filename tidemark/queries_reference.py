@@ -14,6 +14,7 @@ from tidemark.functions.shared import shared_folder
 from tidemark.model import Matcher, TableMeta
 from tidemark.operators import aggregate as agg
 from tidemark.operators import grid
+from tidemark.operators.asof import asof_join
 from tidemark.sources.remote_write import exploded_readings
 from tidemark.streaming.ingest import ingest_exactly, latest
 
@@ -215,6 +216,14 @@ def stream_final_state(spark: SparkSession, folder: str) -> DataFrame:
     return latest(spark, f"{path}/live").drop("_seq")
 
 
+def asof_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Each error with the last click of its user at or before it."""
+    events = table(spark, folder, "events")
+    events = events.withColumn("t", grid.epoch_ms(events, "ts"))
+    errors, clicks = events.where("event_type = 'error'").select("event_id", "user_id", "t"), events.where("event_type = 'click'")
+    return asof_join(errors, clicks, ["user_id"], "t", "t", ["value"]).select("event_id", "matched_ts", "value")
+
+
 _ORDERS = """
 with base as (select o_orderstatus, o_orderpriority, o_totalprice, o_orderkey, epoch_ms(cast(o_orderdate as timestamp)) // 86400000 * 86400000 ts_ms from orders),
 grid as (select *, ts_ms // 10368000000 * 10368000000 chunk_start, cast((ts_ms % 10368000000) // 86400000 as integer) slot from base),
@@ -313,6 +322,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "present_over_time": _promql("present_over_time(events[5d])"),
     "range_irate": _promql("irate(events[5d])", 9),
     "grid_increase": grid_increase,
+    "asof_events": asof_events,
     "binary_arithmetic": _promql("sum by (event_type) (events) / on (event_type) count by (event_type) (events) * 2"),
     "binary_compare": _promql("events > 450"),
     "binary_ignoring": _promql("sum by (event_type) (events) - ignoring (user_id) count by (event_type) (events) % 2"),
@@ -421,6 +431,10 @@ window w as (partition by event_type, user_id order by ts_ms range between 86399
     + "select event_type, user_id, ts_ms, round(greatest(2, least(50, abs(ceil(value / -7)))) + floor(sqrt(value)) - least(floor(value / 5 + 0.5) * 5, 100), 6) as value from kept",
     "label_functions": _event_rows()
     + "select case when length(user_id) > 0 then user_id[1] || '-' || user_id[2:] end u, ts_ms, round(sum(value), 6) as value from kept group by all",
+    "asof_events": """
+with r as (select user_id, epoch_us(ts) // 1000 t, max(value) v from events where event_type = 'click' group by all)
+select event_id, r.t matched_ts, r.v as value from (select event_id, user_id, epoch_us(ts) // 1000 t from events where event_type = 'error') l
+asof left join r on l.user_id = r.user_id and l.t >= r.t""",
     "binary_arithmetic": _event_rows() + "select event_type, ts_ms, round(sum(value) / (count(value) * 1.0) * 2, 6) as value from kept group by all",
     "binary_compare": _event_rows() + "select event_type, user_id, ts_ms, round(value, 6) as value from kept where value > 450",
     "binary_bool": _event_rows() + "select ts_ms, case when sum(value) >= 400 then 1.0::double else 0.0::double end as value from kept group by all",

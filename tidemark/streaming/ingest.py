@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ COMPACT = 8
 
 
 def ingest_exactly(
-    stream: DataFrame, path: str, checkpoint: str, labels: Sequence[str], scalars: Sequence[str], ts: str, seq: str, meta: TableMeta, archive: str | None = None
+    stream: DataFrame, path: str, checkpoint: str, labels: Sequence[str], scalars: Sequence[str], ts: str, seq: str, meta: TableMeta, archive: str | None = None, after: Callable[[SparkSession, int], None] | None = None
 ) -> StreamingQuery:
     """Keeps the live rows under ``path`` exactly as the batch rules say, whatever the batches.
 
@@ -40,7 +40,7 @@ def ingest_exactly(
     batches the live rows are written whole, and what no repeated batch can need any more is deleted.  So a
     batch costs what it holds, and what is stored stays a few times the live rows.  Chunks that drop out go to ``archive`` if it
     is given.  A batch that is repeated after a failure writes the same again; if what an earlier batch wrote is
-    gone, that is an :class:`InternalError`.  ``path``, ``checkpoint`` and ``archive`` must be on storage that all executors share.
+    gone, that is an :class:`InternalError`.  ``after`` is called when a batch is stored (see :func:`continuous_query`).  ``path``, ``checkpoint`` and ``archive`` must be on storage that all executors share.
     """
     index = tdiv(F.col("chunk_start"), meta.chunk_ms)
     keys = [*labels, *grid.GRID]
@@ -71,6 +71,8 @@ def ingest_exactly(
         spark.createDataFrame([(newest, first, first_seq, live, None if live is None else max(live, first) * meta.chunk_ms, base, batch)], NOTE).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch}/note")
         if whole and before is not None:
             _delete_before(spark, path, before["base"])
+        if after:
+            after(spark, batch)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -135,3 +137,35 @@ def _delete_before(spark: SparkSession, path: str, batch: int) -> None:
         if b < batch:
             fs, p = _file_system(spark, f"{path}/batch={b}")
             fs.delete(p, True)
+
+
+def continuous_query(path: str, name: str, text: str, labels: Sequence[str], scalars: Sequence[str], meta: TableMeta, results: str) -> Callable[[SparkSession, int], None]:
+    """For ``after``: evaluates a query of the live rows under ``path`` when a batch is stored, as of the newest chunk's end.
+
+    ``name`` is what the query calls the table.  The result of each batch is written to ``results/batch=n``, again if the batch is
+    repeated; :func:`alerts` tells what came up and what went away between two batches.
+    """
+
+    def evaluate(spark: SparkSession, batch: int) -> None:
+        from tidemark.engine import Engine
+
+        at = note(spark, path, batch)
+        engine = Engine(spark)
+        rows = latest(spark, path, batch)
+        engine.register(name, rows, labels, scalars, "ts_ms", "_seq", meta)
+        now = 0 if at["newest"] is None else (at["newest"] + 1) * meta.chunk_ms
+        engine.query(text, now_ms=now).write.mode("overwrite").parquet(f"{results}/batch={batch}")
+
+    return evaluate
+
+
+def alerts(spark: SparkSession, results: str, batch: int) -> DataFrame:
+    """Series of a continuous query's result after a batch with ``state``: ``firing`` if they are new there, ``resolved`` if they
+    were in the result before and no longer are.  Series are told by their labels."""
+    now = spark.read.parquet(f"{results}/batch={batch}")
+    labels = [c for c in now.columns if c not in ("ts_ms", "value")]
+    now = now.select(*labels).distinct()
+    if batch == 0:
+        return now.withColumn("state", F.lit("firing"))
+    was = spark.read.schema(now.schema).parquet(f"{results}/batch={batch - 1}").select(*labels).distinct()
+    return now.exceptAll(was).withColumn("state", F.lit("firing")).unionByName(was.exceptAll(now).withColumn("state", F.lit("resolved")))
