@@ -538,11 +538,13 @@ def leaks(
     # --- letters of the candidates, aligned
 
     copies = 16
-    sent = candidates.join(texts.select(F.col("i1").alias("_i1"), F.col("i2").alias("_i2"), F.col("text").alias("item_text")), (F.col("i1") == F.col("_i1")) & (F.col("i2") == F.col("_i2"))).select(
-        *[F.col(c).alias(f"_{c}") for c in ("d1", "d2")], "i1", "i2", "item_text", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_salt")
-    )
+    # Alignment takes much time a byte, so its partitions are not left to be merged by size.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    to = candidates.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_salt"), "i1", "i2")
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(copies)).cast("int"))
-    both = salted.join(sent, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("salt") == F.col("_salt"))).select("doc", "text", "i1", "i2", "item_text")
+    met = salted.join(to.repartition(n, "_d1", "_d2", "_salt").hint("merge"), (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("salt") == F.col("_salt")))
+    own = texts.select(F.col("i1").alias("_i1"), F.col("i2").alias("_i2"), F.col("text").alias("item_text"))
+    both = met.join(F.broadcast(own) if few else own, (F.col("i1") == F.col("_i1")) & (F.col("i2") == F.col("_i2"))).select("doc", met["text"], "i1", "i2", "item_text")
     kind = rows.schema["doc"].dataType.simpleString()
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
